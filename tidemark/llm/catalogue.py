@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import secrets, simhash, topk
+from . import bpe, decontaminate, secrets, simhash, topk
 
 QUERIES: dict = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op2_bpe": bpe.op2_bpe,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op8_simhash": simhash.op8_simhash,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
