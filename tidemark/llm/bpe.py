@@ -23,7 +23,7 @@ from ._common import checkpointed, offsets, ragged, read, rows
 
 TOKENIZER = "byte_bpe_50k.json"
 TABLE_WORDS = 3_000_000
-HELD_WORDS = 1_000_000
+HELD_WORDS = 250_000
 
 # Unicode white space, as the tokenizer's pattern has it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -85,12 +85,13 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words.split(text))
+        for whole in batches:
+            for batch in rows(whole, 500):
+                for text in batch.column(0).to_pylist():
+                    counts.update(words.split(text))
                 if len(counts) > HELD_WORDS:
                     yield out()
-                    counts.clear()
+                    counts = Counter()
         if counts:
             yield out()
 
