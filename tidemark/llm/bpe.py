@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, offsets, ragged, read, rows
+from ._common import checkpointed, offsets, ragged, read, rows, sha256
 
 TOKENIZER = "byte_bpe_50k.json"
 TABLE_WORDS = 3_000_000
@@ -136,9 +136,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     Null and empty texts have no ids. Repeated rows give repeated rows, null ids stay null, an empty table gives no
     rows and other columns are not read. ``path``: a byte-level BPE file of the tokenizers library.
     """
-    path = path or public_tokenizers.path(TOKENIZER)
     d = _text(docs, id_col, text_col)
-    held = docs.sparkSession.sparkContext.broadcast(word_table(d, path, table_words))
+    return d.mapInArrow(encoder(d, path or public_tokenizers.path(TOKENIZER), table_words), "id long, n_tokens long, ids binary")
+
+
+def encoder(d: DataFrame, path: str, table_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (id, text) to batches of (id, n_tokens, ids), by the word table of ``d``."""
+    held = d.sparkSession.sparkContext.broadcast(word_table(d, path, table_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (known, bounds, flat) = Words(path), held.value
@@ -169,7 +173,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     ids.append(local[ragged(starts[c], sizes[c])].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
-    return d.mapInArrow(run, "id long, n_tokens long, ids binary")
+    return run
 
 
 def pieces(path: str) -> list[bytes]:
@@ -185,24 +189,41 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``encoded`` (id, n_tokens, ids) with the text of the ids, special tokens included, in place of none."""
-    path = path or public_tokenizers.path(TOKENIZER)
+def decoder(spark: SparkSession, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (id, n_tokens, ids) to the same with the text; the id-to-piece table has the vocabulary's size."""
+    held = spark.sparkContext.broadcast(pieces(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path).__getitem__
+        piece = held.value.__getitem__
         for whole in batches:
             for batch in rows(whole, 500):
                 texts = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["id", "n_tokens", "ids", "text"])
 
+    return run
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``encoded`` (id, n_tokens, ids) with the text of the ids, special tokens included."""
+    run = decoder(encoded.sparkSession, path or public_tokenizers.path(TOKENIZER))
     return encoded.select("id", "n_tokens", "ids").mapInArrow(run, "id long, n_tokens long, ids binary, text string")
 
 
-def digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_tokens and the hashes of ids and of the text that they decode to."""
-    d = decode(encode(docs, **options))
-    return d.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
+    """doc_id, n_tokens and the hashes of the ids and of the text that they decode to.
+
+    Encoding, decoding and hashing follow each other in one Python worker, so ids and texts are not sent back.
+    """
+    path = path or public_tokenizers.path(TOKENIZER)
+    d = _text(docs, id_col, text_col)
+    encoded, decoded = encoder(d, path, table_words), decoder(d.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decoded(encoded(batches)):
+            hashes = [pa.array([sha256(x) for x in batch.column(c).cast(pa.binary()).to_pylist()], pa.string()) for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *hashes], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
