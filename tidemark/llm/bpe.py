@@ -8,6 +8,7 @@ encoded there. Decoding looks up each id's piece.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -44,6 +45,7 @@ def units(text: str) -> list[str]:
 
 
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -127,7 +129,7 @@ def word_table(docs: DataFrame, path: str, most: int) -> tuple[np.ndarray, np.nd
     clash = np.isin(h, h[1:][h[1:] == h[:-1]])  # words that share a hash are encoded where they stand
     sizes, starts, h = sizes[~clash], bounds[:-1][order][~clash], h[~clash]
     kind = np.uint16 if len(flat) == 0 or flat.max() < 1 << 16 else np.uint32
-    return h, offsets(sizes), flat[ragged(starts, sizes)].astype(kind)
+    return h, offsets(sizes).astype(np.uint32), flat[ragged(starts, sizes)].astype(kind)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -161,7 +163,7 @@ def encoder(d: DataFrame, path: str, table_words: int) -> Callable[[Iterator[pa.
                 here = words.encode([distinct[i] for i in np.flatnonzero(~hit).tolist()])
                 # ids of this batch's distinct words, first those of the table
                 sizes, starts = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-                sizes[hit], starts[hit] = (bounds[1:] - bounds[:-1])[at[hit]] if len(known) else 0, bounds[:-1][at[hit]] if len(known) else 0
+                sizes[hit], starts[hit] = bounds[at[hit] + 1] - bounds[at[hit]], bounds[at[hit]]
                 from_table = flat[ragged(starts[hit], sizes[hit])].astype("<u4")
                 sizes[~hit] = np.fromiter(map(len, here), np.int64, len(here))
                 starts[hit] = offsets(sizes[hit])[:-1]
