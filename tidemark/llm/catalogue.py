@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, secrets, simhash, topk
+from . import bpe, decontaminate, quality, secrets, simhash, topk, toxicity
 
 QUERIES: dict = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op2_bpe": bpe.op2_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_quality": quality.op4_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_simhash": simhash.op8_simhash,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
