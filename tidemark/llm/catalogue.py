@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, secrets, simhash, topk, toxicity
+from . import bpe, chat, decontaminate, quality, secrets, simhash, suffix_tree, topk, toxicity
 
 QUERIES: dict = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -10,7 +10,9 @@ QUERIES: dict = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_lm_score": suffix_tree.op6_lm_score,
+    "op7_chat_format": chat.op7_chat_format,
     "op8_simhash": simhash.op8_simhash,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-SQL: dict[str, str] = {"op1_exact_topk": topk.OP1_SQL}
+SQL: dict[str, str] = {"op1_exact_topk": topk.OP1_SQL, "op7_chat_format": chat.OP7_SQL}
