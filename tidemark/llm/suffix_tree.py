@@ -3,8 +3,8 @@
 A text is its lower-cased words, a space after each, then an end mark that also opens the next text. Counts of all byte sequences of up to ``DEPTH + 1`` are gathered over all training texts. A context becomes a node if it is common
 enough and its next-byte distribution diverges from that of its longest proper suffix, or a longer context needs it.
 Distributions are smoothed along the chain of suffixes; each byte is scored in the state of the longest context.
-The tree's probability of a word's bytes in turn smooths the word's own share of the training tokens, with as much
-weight as there are distinct tokens: common words are scored by their counts, unknown ones by their spelling.
+The tree's probability of a word's bytes in turn smooths the word's own share of the training tokens, with a weight
+of ``SPELLING`` times the training tokens: common words are scored by their counts, unknown ones by their spelling.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ P_MIN = 1e-5
 LEAST = 20
 DIVERGENCE = 0.01
 KEEP = 8.0
+SPELLING = 2.0
 TABLE_WORDS = 6_000_000
-HELD_WORDS = 250_000
-HELD_GRAMS = 1_500_000
+HELD_WORDS = 200_000
+HELD_GRAMS = 1_000_000
 REST = pa.list_(pa.struct([("h", pa.int64()), ("spelt", pa.float64())]))
 END = 10
 
@@ -211,8 +212,9 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     got = vocabulary.where(F.col("n") >= least).toArrow()
     order = np.argsort(got.column("h").to_numpy())
     held = spark.sparkContext.broadcast((got.column("h").to_numpy()[order], got.column("n").to_numpy()[order].astype(np.uint32 if n_train < 1 << 32 else np.int64), tree))
-    distinct, bottom = max(distinct, 1), np.log10(n_train + 0.1 * (distinct + 1))
-    top = np.log10(n_train + distinct)
+    bottom = np.log10(n_train + 0.1 * (distinct + 1))
+    weight = max(1.0, SPELLING * n_train)
+    top = np.log10(n_train + weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, model = held.value
@@ -243,7 +245,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
                 p = np.add.reduceat(p, offsets(size)[:-1])
                 times = np.empty(len(size))
                 times[is_end], times[~is_end] = ends, c[code]
-                spelt = distinct * 10.0**p
+                spelt = weight * 10.0**p
                 value = np.concatenate([[0.0], np.cumsum(np.log10(times + spelt) - top)])
                 to = np.append(0, np.flatnonzero(is_end) + 1)
                 rest = []
