@@ -22,13 +22,19 @@ def fold(doc_id: str | Column, of: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % of, F.lit(0))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there; a folder is set only where the session has none."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; one is made only where the session names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

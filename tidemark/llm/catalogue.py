@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality, secrets, simhash, suffix_tree, topk, toxicity
+import corpus_pipeline
+
+from . import bpe, chat, decontaminate, licenses, quality, secrets, simhash, suffix_tree, topk, toxicity
 
 QUERIES: dict = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -13,6 +15,8 @@ QUERIES: dict = {
     "op6_lm_score": suffix_tree.op6_lm_score,
     "op7_chat_format": chat.op7_chat_format,
     "op8_simhash": simhash.op8_simhash,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op1_exact_topk": topk.OP1_SQL, "op7_chat_format": chat.OP7_SQL}
+SQL: dict[str, str] = {"op1_exact_topk": topk.OP1_SQL, "op7_chat_format": chat.OP7_SQL, "op9_license_scan": licenses.OP9_SQL}
