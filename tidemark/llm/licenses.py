@@ -1,8 +1,8 @@
 """Licence scan: text units against licence templates by the Dice coefficient of their word bigrams.
 
-Units are lines and paragraphs of several lines. A unit that reaches the threshold shares over a third of a template's
-bigrams, so it holds one of a few of the template's words, and its number of bigrams lies between two bounds; both
-tests are exact and come before any set is built. Only DataFrame functions are used.
+Units are lines and paragraphs of several lines. A unit that reaches the threshold shares two thirds of a template's
+bigrams, so it holds one of a few of them, and its number of bigrams lies between two bounds; both tests are exact
+and come before any set is built. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -48,21 +48,14 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return fits[0], fits[-1]
 
 
-def signs(grams: list[str], threshold: float) -> list[str]:
-    """Words one of which any unit that reaches the threshold holds.
+def signs(grams: list[str], threshold: float) -> list[tuple[str, str]]:
+    """Bigrams one of which any unit that reaches the threshold holds.
 
-    It shares at least threshold / (2 - threshold) of the template's bigrams, so words that between them are in more
-    bigrams than may be missing will do. The longest words come first, being the rarest.
+    It shares at least threshold / (2 - threshold) of the template's bigrams, so one bigram more than may be missing
+    will do. The longest are taken, being the rarest.
     """
     spare = int(len(grams) - threshold / (2 - threshold) * len(grams) + 1e-9)
-    chosen, left = [], list(grams)
-    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
-        if len(grams) - len(left) > spare:
-            break
-        if any(w in g.split() for g in left):
-            chosen.append(w)
-            left = [g for g in left if w not in g.split()]
-    return chosen
+    return [tuple(g.split()) for g in sorted(grams, key=lambda g: (-len(g), g))[: spare + 1]]
 
 
 def _any(tests: list[Column]) -> Column:
@@ -78,22 +71,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     texts are scanned and other columns are not read.
     """
     grams = {k: g for k, t in sorted((templates or TEMPLATES).items()) if (g := bigrams(normal_words(t)))}
-    words = sorted({w for g in grams.values() for w in signs(g, threshold)})
-    words = [w for w in words if not any(v != w and v in w for v in words)]
+    both = sorted({x for g in grams.values() for x in signs(g, threshold)})
 
     def signed(c: Column) -> Column:
-        return _any([c.contains(w) for w in words])
+        """Both words of a sign are in the text; through an array, so that ``c`` is computed once."""
+        return F.exists(F.array(c), lambda t: _any([t.contains(a) & t.contains(b) for a, b in both]))
 
     limits = {k: bounds(len(g), threshold) for k, g in grams.items()}
     least, most = min(a for a, _ in limits.values()), max(b for _, b in limits.values())
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("t")).where(signed(F.col("t")))
-    lines = d.select("doc_id", F.lit("line").alias("unit"), F.posexplode(F.split("t", "\n")).alias("position", "u"))
-    parts = d.where(F.col("t").rlike(r"\n[ \t]*\n")).select("doc_id", F.lit("paragraph").alias("unit"), F.posexplode(F.split("t", r"\n[ \t]*\n")).alias("position", "u")).where(F.col("u").contains("\n"))
-    units = lines.unionByName(parts).where(signed(F.col("u")))
+
+    def cut(pattern: str, unit: str) -> Column:
+        return F.transform(F.split("t", pattern), lambda u, i: F.struct(F.lit(unit).alias("unit"), i.cast("long").alias("position"), u.alias("u")))
+
+    parts = F.filter(cut(r"\n[ \t]*\n", "paragraph"), lambda x: x["u"].contains("\n"))
+    parts = F.when(F.col("t").rlike(r"\n[ \t]*\n"), parts).otherwise(F.slice(parts, 1, 0))
+    units = d.select("doc_id", F.explode(F.concat(cut("\n", "line"), parts)).alias("x")).select("doc_id", "x.unit", "x.position", "x.u").where(signed(F.col("u")))
     units = units.withColumn("w", F.filter(F.split("u", "[^a-z0-9]+"), lambda x: x != "")).where(F.size("w") > least)
     following = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
     pairs = F.array_distinct(F.filter(F.zip_with("w", following, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()))
-    units = units.select("doc_id", "unit", F.col("position").cast("long").alias("position"), pairs.alias("g")).where(F.size("g").between(least, most))
+    units = units.select("doc_id", "unit", "position", pairs.alias("g")).where(F.size("g").between(least, most))
     n = F.size("g")
     dice = [F.when(n.between(*limits[k]), F.struct((F.lit(2.0) * F.size(F.array_intersect("g", F.array(*map(F.lit, g)))) / (n + len(g))).alias("dice"), F.lit(k).alias("license"))) for k, g in grams.items()]
     found = F.filter(F.array(*dice), lambda x: x.isNotNull() & (x["dice"] >= threshold))
