@@ -5,6 +5,7 @@ Doubles are rounded on both sides, as sums may run in another order.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as mt
 from ..operators import bootstrap as bs
+from ..operators import kernels as kn
 from ..operators import leaderboard as lb
+from ..operators import lunisolar as ls
 from ..operators import panel as pn
 from ..operators import planning as pl
+from ..operators import report
 from ..sources import html, ingest
 from ..sources import series as sr
 from ..sources import windows as wd
+from ..streaming import events as ev
 from . import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,3 +333,104 @@ def ingest_profile(spark, sf):
 @register("rolled_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rolled_counts(spark, sf):
     return sr.read_table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+SPAN = (dt.date(1995, 1, 1), dt.date(2002, 12, 31))
+
+
+def _kernels(spark, sf, models, **more):
+    config = pn.PanelConfig(min_train=48, horizons=(1, 2, 3), step=3)
+    return kn.kernel_panel(flows.lineitem_series(spark, sf), config, models, **more)
+
+
+for _name in ("theta", "holt_winters_add", "holt_winters_mul", "sarima", "switching", "switching_sticky"):
+
+    @register(_name)
+    def kernel(spark, sf, name=_name):
+        return _kernels(spark, sf, [name])
+
+
+@register("sarimax_cal")
+def sarimax_cal(spark, sf):
+    return _kernels(spark, sf, ["sarimax_cal"], calendar=ls.features(spark, *SPAN), features=["festival_days", "lunar_drift_days"])
+
+
+@register("full_registry_leaderboard")
+def full_registry_leaderboard(spark, sf):
+    """All forecasters on one rectangular panel, by regime."""
+    config = pn.PanelConfig(min_train=48, horizons=(1, 2, 3), step=3)
+    s = flows.lineitem_series(spark, sf)
+    fitted = kn.kernel_panel(s, config, kn.KERNELS, calendar=ls.features(spark, *SPAN), features=["festival_days", "lunar_drift_days"]).drop("reason")
+    closed = pn.closed_forms(pn.origins(s, config), config, flows.MODELS)
+    return lb.per_regime(wd.label(pn.score(closed.unionByName(fitted)), wd.window_table(spark, flows.DECLARED)))
+
+
+@register("applicability")
+def applicability(spark, sf):
+    return kn.applicability(_kernels(spark, sf, ["holt_winters_mul", "sarima", "theta"]))
+
+
+def _year_scores(series: DataFrame) -> DataFrame:
+    """Seasonal differences less their median, in units of 1.4826 times their median absolute deviation."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("series_id").orderBy("month")
+    d = series.withColumn("d", (F.col("y") - F.lag("y", 12).over(w)).cast("double")).where("d is not null")
+    c = d.withColumn("c", F.median("d").over(Window.partitionBy("series_id")))
+    m = c.withColumn("m", F.median(F.abs(F.col("d") - F.col("c"))).over(Window.partitionBy("series_id")))
+    return m.select("series_id", "month", ((F.col("d") - F.col("c")) / (F.lit(1.4826) * F.col("m"))).alias("score"))
+
+
+SCORES = ", sd AS (SELECT * FROM (SELECT series_id, month, CAST(y - lag(y, 12) OVER (PARTITION BY series_id ORDER BY month) AS DOUBLE) AS d FROM s) WHERE d IS NOT NULL), sm AS (SELECT *, median(d) OVER (PARTITION BY series_id) AS c FROM sd), sq AS (SELECT *, median(abs(d - c)) OVER (PARTITION BY series_id) AS m FROM sm), ss AS (SELECT series_id, month, (d - c) / (1.4826 * m) AS score FROM sq)"
+
+
+@register("surprise_scores", _flow("l_returnflag") + SCORES + f"SELECT series_id, month, {_r('score', 'score')} FROM ss")
+def surprise_scores(spark, sf):
+    return _year_scores(flows.lineitem_series(spark, sf, "l_returnflag"))
+
+
+@register("shock_state_fsm", _flow("l_returnflag").replace("WITH m0", "WITH RECURSIVE m0") + SCORES + """
+, nb AS (SELECT series_id, score, row_number() OVER (PARTITION BY series_id ORDER BY month) AS k, count(*) OVER (PARTITION BY series_id) AS n FROM ss),
+st AS (SELECT series_id, CAST(0 AS BIGINT) AS k, false AS shock, 0 AS held FROM nb WHERE k = 1
+  UNION ALL SELECT nb.series_id, nb.k, CASE WHEN st.shock THEN NOT (st.held + 1 >= 6 AND nb.score > -1.0) ELSE nb.score < -2.5 OR nb.score > 15.0 END, CASE WHEN st.shock THEN st.held + 1 ELSE 0 END FROM st JOIN nb ON nb.series_id = st.series_id AND nb.k = st.k + 1)
+SELECT st.series_id, shock AS in_shock FROM st JOIN nb ON nb.series_id = st.series_id AND nb.k = st.k AND nb.k = nb.n""")
+def shock_state_fsm(spark, sf):
+    return kn.detector(_year_scores(flows.lineitem_series(spark, sf, "l_returnflag")), 6)
+
+
+@register("festival_days")
+def festival_days(spark, sf):
+    return ls.occurrence_days(spark, *SPAN)
+
+
+@register("calendar_features")
+def calendar_features(spark, sf):
+    return ls.features(spark, *SPAN)
+
+
+@register("daily_means", _flow() + "SELECT series_id, month, y, CAST(day(last_day(month)) AS INTEGER) AS days_in_month, round(y / day(last_day(month)), 6) AS daily_mean FROM s")
+def daily_means(spark, sf):
+    s = flows.lineitem_series(spark, sf)
+    return s.select("series_id", "month", "y", mt.days_in_month(F.col("month")).alias("days_in_month"), (F.col("y") / mt.days_in_month(F.col("month"))).alias("daily_mean"))
+
+
+@register("horizon_profile", _flow() + f"SELECT model, regime, horizon, {_r('avg(mase)', 'score')} FROM lab GROUP BY ALL")
+def horizon_profile(spark, sf):
+    return report.horizon_profile(flows.labelled(spark, sf))
+
+
+@register("forecast_and_actual", _flow() + "SELECT series_id, target, actual, model, round(predicted, 6) AS predicted, regime FROM lab WHERE horizon = 1")
+def forecast_and_actual(spark, sf):
+    return report.forecast_and_actual(flows.labelled(spark, sf))
+
+
+@register("events_by_hour", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def events_by_hour(spark, sf):
+    e = sr.read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ev.tumbling(e).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("user_sessions", "WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY user_id, k")
+def user_sessions(spark, sf):
+    e = sr.read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ev.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
