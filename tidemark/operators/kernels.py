@@ -202,7 +202,7 @@ def forecasts(y: np.ndarray, horizons: np.ndarray, models: Sequence[str], past:
         try:
             out = run[m]()
             yield (m, out, None) if np.isfinite(out).all() else (m, None, "not finite")
-        except (ValueError, np.linalg.LinAlgError) as e:
+        except (ValueError, np.linalg.LinAlgError, CoverageError) as e:
             yield m, None, str(e).splitlines()[0]
 
 
@@ -210,7 +210,8 @@ def kernel_panel(series: DataFrame, config: PanelConfig, models: Sequence[str],
     """(series_id, origin, target, horizon, model, actual, predicted, mase_scale, reason) for fitted forecasters.
 
     Each origin is a row with its training months as an array and is dealt to tasks on its own, so many series and many
-    origins spread alike. A model that cannot be fitted has null predictions and a reason. ``calendar``: (month, features).
+    origins spread alike. A model that cannot be fitted has null predictions and a reason. ``calendar``: (month, features),
+    one row a month; a month that it lacks raises.
     """
     if unknown := set(models) - set(KERNELS):
         raise ConfigError(f"unknown forecasters: {', '.join(sorted(unknown))}")
@@ -222,7 +223,10 @@ def kernel_panel(series: DataFrame, config: PanelConfig, models: Sequence[str],
     at = origins(series, config).select("series_id", "origin", "actuals", "scale").join(train, ["series_id", "origin"])
     if calendar is not None:
         months = series.select("series_id", "month").unionByName(series.groupBy("series_id").agg(F.max("month").alias("m")).select("series_id", F.explode(F.expr(f"sequence(add_months(m, 1), add_months(m, {far}), interval 1 month)")).alias("month")))
-        x = months.join(F.broadcast(calendar), "month", "left").select("series_id", "month", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+        lacking = months.select("month").distinct().join(calendar.dropna(subset=list(features)), "month", "left_anti").orderBy("month").limit(24).collect()
+        if lacking:
+            raise CoverageError("the calendar lacks " + ", ".join(str(r.month) for r in lacking))
+        x = months.join(F.broadcast(calendar.select("month", *features).join(months.select("month").distinct(), "month", "left_semi")), "month", "left").select("series_id", "month", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
         wx = Window.partitionBy("series_id").orderBy("month")
         x = x.select("series_id", F.col("month").alias("origin"), F.collect_list("x").over(wx.rowsBetween(Window.unboundedPreceding, 0)).alias("past"), F.collect_list("x").over(wx.rowsBetween(1, far)).alias("future"))
         at = at.join(x, ["series_id", "origin"])

@@ -52,7 +52,7 @@ def rank_correlation(table: DataFrame, a: str, b: str, by: Sequence[str]) -> Dat
     """(by, n, rho): Spearman's correlation over rows that have both scores; null for fewer than three or constant scores."""
     both = table.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = both.select(*by, average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
-    rho = F.when((F.count("*") >= 3) & (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0), F.corr("ra", "rb"))
+    rho = F.when((F.count("*") >= 3) & (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0), F.round(F.corr("ra", "rb"), 12))  # so that rounding does not decide the sign of a zero
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"))
 
 

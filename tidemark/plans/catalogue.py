@@ -84,7 +84,7 @@ b AS (SELECT *, CASE WHEN clean IS NOT NULL THEN rank() OVER (PARTITION BY {by}
 BOARD_OUT = f"SELECT {{by}} model, {_r('clean', 'clean')}, {_r('shock', 'shock')}, clean_n, shock_n, clean_rank, shock_rank, shock_rank - clean_rank AS rank_change FROM b"
 RHO = """
 , rk AS (SELECT {by} rank() OVER (PARTITION BY {by} 1 ORDER BY clean) + (count(*) OVER (PARTITION BY {by} clean) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY {by} 1 ORDER BY shock) + (count(*) OVER (PARTITION BY {by} shock) - 1) / 2.0 AS rb FROM {src} WHERE clean IS NOT NULL AND shock IS NOT NULL),
-rh AS (SELECT {by} count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM rk GROUP BY ALL)"""
+rh AS (SELECT {by} count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 12) END AS rho FROM rk GROUP BY ALL)"""
 DRAWS = f"""
 , cells AS (SELECT origin, model, regime, sum(mase) AS total, count(*) AS n FROM lab GROUP BY ALL),
 ix AS (SELECT origin, row_number() OVER (ORDER BY origin) - 1 AS i FROM (SELECT DISTINCT origin FROM lab)),
