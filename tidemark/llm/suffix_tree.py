@@ -1,10 +1,12 @@
 """Language-model scores from a probabilistic suffix tree over the bytes of a text.
 
-A text is its lower-cased words, a space after each, then an end mark that also opens the next text. Counts of all byte sequences of up to ``DEPTH + 1`` are gathered over all training texts. A context becomes a node if it is common
+A text is its lower-cased words, a space after each, then an end mark that also opens the next text. Counts of all
+byte sequences of up to ``DEPTH + 1`` are gathered over all training texts. A context becomes a node if it is common
 enough and its next-byte distribution diverges from that of its longest proper suffix, or a longer context needs it.
-Distributions are smoothed along the chain of suffixes; each byte is scored in the state of the longest context.
-The tree's probability of a word's bytes in turn smooths the word's own share of the training tokens, with a weight
-of ``SPELLING`` times the training tokens: common words are scored by their counts, unknown ones by their spelling.
+Distributions are smoothed along the chain of suffixes; each byte is scored in the state of the longest context. The
+tree's probability of a word's bytes in turn smooths the word's own share of the training tokens, with a weight of
+``SPELLING`` times the words met once, which tell how open the vocabulary is: common words are scored by their counts,
+unknown ones by their spelling.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ P_MIN = 1e-5
 LEAST = 20
 DIVERGENCE = 0.01
 KEEP = 8.0
-SPELLING = 2.0
+SPELLING = 20.0
 TABLE_WORDS = 6_000_000
 HELD_WORDS = 200_000
 HELD_GRAMS = 1_000_000
@@ -213,7 +215,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     order = np.argsort(got.column("h").to_numpy())
     held = spark.sparkContext.broadcast((got.column("h").to_numpy()[order], got.column("n").to_numpy()[order].astype(np.uint32 if n_train < 1 << 32 else np.int64), tree))
     bottom = np.log10(n_train + 0.1 * (distinct + 1))
-    weight = max(1.0, SPELLING * n_train)
+    weight = max(1.0, SPELLING * (sizes[2] - sizes[3]))
     top = np.log10(n_train + weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
