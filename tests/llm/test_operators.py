@@ -230,14 +230,18 @@ def test_tree_uses_the_longest_context_and_sums_to_one():
     assert p[20:-5].mean() == pytest.approx(-math.log10(2) * 2 / 9, abs=0.003)
 
 
-def test_deeper_trees_score_better(spark):
+@pytest.mark.parametrize("parts_a_word", [3, 5])
+def test_scores_of_open_and_closed_vocabularies(spark, parts_a_word):
+    """216 words, all of them met, are scored as their counts have it; of 7,776 words many are known by spelling only."""
     rng = np.random.default_rng(8)
     parts = ["ba", "do", "ki", "lu", "re", "sto"]
-    rows = [(i, " ".join("".join(rng.choice(parts, 3)) for _ in range(60))) for i in range(300)]
+    rows = [(i, " ".join("".join(rng.choice(parts, parts_a_word)) for _ in range(60))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = suffix_tree.score_texts(df.where("doc_id >= 250"), df.where("doc_id < 250"))
-    r = got.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert r[0] > r[1] and r[0] / r[2] > -3.0  # 216 words; entropy 2.33
+    score, base, n = got.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    entropy = parts_a_word * math.log10(6) * 60 / 61
+    assert score >= base - 1e-4 * abs(base) and score / n > -1.1 * entropy - 0.05
+    assert parts_a_word == 3 or score > base + 0.05 * abs(base)
 
 
 # chat
