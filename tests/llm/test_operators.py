@@ -374,3 +374,9 @@ def test_broken_lengths_are_not_keys():
     assert secrets.is_der_key(key) and not secrets.is_der_key(key[:-1]) and not secrets.is_der_key(key + b"x")
     assert not secrets.is_der_key(der(b"\x04\x20" + bytes(32)))
     assert not secrets.is_signed_token("eyJhIjoxfQ", "eyJhIjoxfQ")
+
+
+def test_token_spans_follow_the_tokens():
+    text = "É «quoted», -- 日本語 a.b c\n ?! end"
+    spans = toxicity.token_spans(text)
+    assert [toxicity.tokens(text[a:b].encode())[0] for a, b in spans] == toxicity.tokens(text.encode())

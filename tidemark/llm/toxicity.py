@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import fold, offsets, read, rows
 
 PUNCTUATION = string.punctuation.encode()
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FIT_DOCS = 2500
 CHAIN_DOCS = 700
 FIT_CHARS = 20_000
@@ -33,10 +33,8 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def token_spans(text: str) -> list[tuple[int, int]]:
-    """Code point spans of ``tokens(text)``."""
-    raw = text.encode()
-    found = [m.span() for m in WORD.finditer(raw) if m[0].translate(None, PUNCTUATION)]
-    return [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in found] if not text.isascii() else found
+    """Code point spans of ``tokens`` of the text, in one pass over it."""
+    return [m.span() for m in WORD.finditer(text) if m[0].encode().translate(None, PUNCTUATION)]
 
 
 def _chain(k00: np.ndarray, k01: np.ndarray, k10: np.ndarray, k11: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
