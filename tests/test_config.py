@@ -40,3 +40,27 @@ def test_registry_rules():
     for bad in ({"registry": ("naive", "naive")}, {"needs_calendar": ("none",)}, {"ablations": (("a", "naive", "naive"),)}, {"ablations": (("calendar", "naive", "drift"),)}):
         with pytest.raises(ConfigError):
             config.check_registry(**bad)
+
+
+def test_operations_file(tmp_path):
+    p = tmp_path / "o.yaml"
+    good = "model: theta\nhorizons: [2, 1]\nplanning: {ratios: [{id: beds, per_pilgrims: 10, basis: daily_mean, minimum: 3}]}\n"
+    p.write_text(good)
+    c = config.load_operations(str(p))
+    assert c.model == "theta" and c.horizons == (1, 2) and c.confidence == 0.9 and c.ratios[0].minimum == 3
+    for old, new in (("theta", "other"), ("[2, 1]", "[0]"), ("daily_mean", "yearly"), ("per_pilgrims: 10, ", ""), ("per_pilgrims: 10", "per_pilgrims: 0"), ("model", "confidence: 1\nmodel")):
+        p.write_text(good.replace(old, new))
+        with pytest.raises(ConfigError):
+            config.load_operations(str(p))
+
+
+def test_ingest_file(tmp_path):
+    p = tmp_path / "i.yaml"
+    good = "source: {id: s, publisher: p, title: t, accessed: a}\nmonthly: {path: m.csv, unit: lakh, month_format: '%b %Y', columns: {month: When, pilgrims: N}}\nannual: {path: y.csv, unit: absolute, columns: {year: Year, pilgrims: N}}\n"
+    p.write_text(good)
+    c = config.load_ingest(str(p))
+    assert c["monthly"].spec.unit == "lakh" and c["annual"].spec.month_column == "Year" and c["monthly"].path == "m.csv"
+    for old, new in (("title: t", "title: CHANGE ME"), ("publisher: p, ", ""), ("unit: lakh", "unit: dozen"), ("month_format: '%b %Y', ", ""), ("annual", "yearly"), ("month: When", "day: When")):
+        p.write_text(good.replace(old, new))
+        with pytest.raises(ConfigError):
+            config.load_ingest(str(p))

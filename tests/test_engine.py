@@ -212,6 +212,26 @@ def test_planning_bands_and_report(spark):
     assert "Leaderboard" in text and "seasonal_naive" in text and "band" in report.briefing(plan, "seasonal_naive")
 
 
+def test_forward_by_any_forecaster(spark):
+    s = series(spark, wave(60))
+    flat = {r.horizon: r.forecast for r in pl.forward(s, SMALL, "naive").collect()}
+    assert flat == {h: pytest.approx(wave(60)[-1]) for h in (1, 2, 3)}
+    fitted = {r.horizon: (r.month, r.forecast) for r in pl.forward(s, SMALL, "holt_winters_add").collect()}
+    assert all(fitted[h] == (month(59 + h), pytest.approx(wave(63)[59 + h], rel=0.05)) for h in (1, 2, 3))
+    with pytest.raises(Exception, match="positive"):
+        pl.forward(series(spark, [0.0, *wave(59)]), SMALL, "holt_winters_mul").collect()
+
+
+def test_choice_of_the_planning_model(spark):
+    p = pn.score(pn.closed_forms(pn.origins(series(spark, wave(60)), SMALL), SMALL, ("naive", "drift")))
+    clean = wd.label(p, wd.window_table(spark, [wd.ShockWindow("w", month(40), month(45))]))
+    assert pl.choose_model(clean, "naive") == "naive"
+    assert pl.choose_model(clean) == min(lb.errors(clean).where("regime = 'clean'").collect(), key=lambda r: r.mase).model
+    for panel, name in ((clean, "theta"), (clean.where("regime = 'shock'"), "best_clean")):
+        with pytest.raises(ConfigError):
+            pl.choose_model(panel, name)
+
+
 def test_splice(tmp_path):
     p = tmp_path / "r.md"
     p.write_text("a\n<!-- BEGIN RESULTS -->old<!-- END RESULTS -->\nb")

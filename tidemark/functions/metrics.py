@@ -52,7 +52,7 @@ def overlap_length(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 def requirement(volume: Column, per: float, minimum: int = 0) -> Column:
     """Units of a resource for a volume, ``per`` a unit, rounded up, at least ``minimum``."""
-    return F.greatest(F.lit(minimum), F.ceil(volume / per))
+    return F.greatest(F.lit(minimum).cast("long"), F.ceil(volume / per))
 
 
 def parse_count(text: Column) -> Column:

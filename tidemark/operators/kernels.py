@@ -206,12 +206,12 @@ def forecasts(y: np.ndarray, horizons: np.ndarray, models: Sequence[str], past:
             yield m, None, str(e).splitlines()[0]
 
 
-def kernel_panel(series: DataFrame, config: PanelConfig, models: Sequence[str], calendar: DataFrame | None = None, features: Sequence[str] = ()) -> DataFrame:
+def kernel_panel(series: DataFrame, config: PanelConfig, models: Sequence[str], calendar: DataFrame | None = None, features: Sequence[str] = (), last: bool = False) -> DataFrame:
     """(series_id, origin, target, horizon, model, actual, predicted, mase_scale, reason) for fitted forecasters.
 
     Each origin is a row with its training months as an array and is dealt to tasks on its own, so many series and many
     origins spread alike. A model that cannot be fitted has null predictions and a reason. ``calendar``: (month, features),
-    one row a month; a month that it lacks raises.
+    one row a month; a month that it lacks raises. With ``last``, forecasts leave from each series' last month only.
     """
     if unknown := set(models) - set(KERNELS):
         raise ConfigError(f"unknown forecasters: {', '.join(sorted(unknown))}")
@@ -220,7 +220,7 @@ def kernel_panel(series: DataFrame, config: PanelConfig, models: Sequence[str],
     far, h = max(config.horizons), np.array(config.horizons)
     w = Window.partitionBy("series_id").orderBy("month")
     train = series.select("series_id", F.col("month").alias("origin"), F.collect_list(F.col("y").cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("train"))
-    at = origins(series, config).select("series_id", "origin", "actuals", "scale").join(train, ["series_id", "origin"])
+    at = origins(series, config, last).select("series_id", "origin", "actuals", "scale").join(train, ["series_id", "origin"])
     if calendar is not None:
         months = series.select("series_id", "month").unionByName(series.groupBy("series_id").agg(F.max("month").alias("m")).select("series_id", F.explode(F.expr(f"sequence(add_months(m, 1), add_months(m, {far}), interval 1 month)")).alias("month")))
         lacking = months.select("month").distinct().join(calendar.dropna(subset=list(features)), "month", "left_anti").orderBy("month").limit(24).collect()

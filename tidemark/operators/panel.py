@@ -31,11 +31,12 @@ def middle(values: Column) -> Column:
     return (F.try_element_at(v, F.ceil((n + 1) / 2).cast("int")) + F.try_element_at(v, F.floor((n + 1) / 2).cast("int"))) / 2
 
 
-def origins(series: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
+def origins(series: DataFrame, config: PanelConfig = PanelConfig(), last: bool = False) -> DataFrame:
     """One row for each origin that can be scored at every horizon, with what closed forms need of its past.
 
     All columns come from one window over each series, so the panel costs a single shuffle by series_id. ``scale`` is
-    the mean absolute seasonal difference of the training months; every forecaster of an origin is measured by it.
+    the mean absolute seasonal difference of the training months; every forecaster of an origin is measured by it. With
+    ``last``, each series' last month is its one origin, whatever it is too early to score.
     """
     w = Window.partitionBy("series_id").orderBy("month")
     past = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -43,10 +44,14 @@ def origins(series: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame
     far = max(config.horizons)
     y = F.col("y").cast("double")
     cols = series.select("series_id", F.col("month").alias("origin"), F.col("y").cast("double").alias("y"), F.row_number().over(w).alias("pos"), F.count("*").over(Window.partitionBy("series_id")).alias("n"), F.abs(F.col("y") - F.lag("y", m).over(w)).cast("double").alias("step"), F.first(y).over(past).alias("first_y"), F.array(*[F.lead(y, h).over(w) for h in config.horizons]).alias("actuals"), F.array(*[F.lag(y, i).over(w) for i in range(m)]).alias("last_season"), middle(F.collect_list(y).over(w.rowsBetween(-5, 0))).alias("recent"), middle(F.collect_list(y).over(w.rowsBetween(-m - 5, -m))).alias("year_before"))
-    keep = (F.col("pos") >= config.min_train) & (F.col("pos") <= F.col("n") - far) & ((F.col("pos") - config.min_train) % config.step == 0)
+    scorable = (F.col("pos") <= F.col("n") - far) & ((F.col("pos") - config.min_train) % config.step == 0)
+    keep = (F.col("pos") >= config.min_train) & ((F.col("pos") == F.col("n")) if last else scorable)
     return cols.withColumn("scale", F.avg("step").over(Window.partitionBy("series_id").orderBy("origin").rowsBetween(Window.unboundedPreceding, 0))).where(keep).drop("step")
 
 
+CLOSED_FORMS = ("naive", "seasonal_naive", "drift", "level_shift")
+
+
 def closed_forms(at: DataFrame, config: PanelConfig, models: Sequence[str]) -> DataFrame:
     """(series_id, origin, target, horizon, model, actual, predicted, mase_scale) for forecasters that have a formula."""
 

@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import days_in_month
-from .panel import PanelConfig
+from ..errors import ConfigError
+from ..functions.metrics import days_in_month, requirement
+from .kernels import kernel_panel
+from .leaderboard import best
+from .panel import CLOSED_FORMS, PanelConfig, closed_forms, origins
 
 LEAST = 5
+BEST_CLEAN = "best_clean"
+# What a ratio may be a share of, and the column that holds it.
+BASES = {"monthly_total": "forecast", "daily_mean": "daily_mean", "festival_day_total": "festival_day_load"}
+
+
+@dataclass(frozen=True)
+class Ratio:
+    """A resource: one for each ``per`` of the basis, at least ``minimum``."""
+
+    id: str
+    per: float
+    basis: str
+    minimum: int = 0
+
+    def __post_init__(self) -> None:
+        if self.basis not in BASES or not self.per > 0:
+            raise ConfigError(f"{self.id}: basis {self.basis!r}, per {self.per}")
 
 
 def error_bands(panel: DataFrame, confidence: float = 0.9, least: int = LEAST) -> DataFrame:
@@ -22,16 +45,30 @@ def error_bands(panel: DataFrame, confidence: float = 0.9, least: int = LEAST) -
     return panel.groupBy("model", "horizon", "regime").agg(F.count("*").alias("n"), *[F.percentile(e, F.lit(q)).alias(k) for k, q in quantiles.items()]).where(F.col("n") >= least)
 
 
-def forward(series: DataFrame, config: PanelConfig = PanelConfig()) -> DataFrame:
-    """(series_id, month, horizon, forecast, scale): seasonal naive forecasts past each series' end, from its last month."""
-    w = Window.partitionBy("series_id").orderBy("month")
-    m = config.season
-    y = F.col("y").cast("double")
-    at = series.select("series_id", "month", F.row_number().over(w).alias("pos"), F.count("*").over(Window.partitionBy("series_id")).alias("n"), F.array(*[F.lag(y, i).over(w) for i in range(m)]).alias("last"), F.abs(y - F.lag(y, m).over(w)).alias("step"))
-    at = at.withColumn("scale", F.avg("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("pos = n")
-    cells = F.array(*[F.struct(F.lit(h).alias("horizon"), F.element_at("last", m - (h - 1) % m).alias("forecast")) for h in config.horizons])
-    out = at.select("series_id", F.col("month").alias("origin"), "scale", F.explode(cells).alias("c"))
-    return out.select("series_id", F.add_months("origin", F.col("c.horizon")).alias("month"), "c.horizon", "c.forecast", "scale")
+def choose_model(panel: DataFrame, declared: str = BEST_CLEAN) -> str:
+    """The declared forecaster, which has to be in the panel, or the one of least mean scaled error in clean months."""
+    if declared != BEST_CLEAN:
+        if panel.where(F.col("model") == declared).isEmpty():
+            raise ConfigError(f"the panel has no forecasts of {declared}, so its errors are not known")
+        return declared
+    found = best(panel).where("regime = 'clean'").first()
+    if found is None:
+        raise ConfigError("the panel has no clean months to choose by")
+    return found.model
+
+
+def forward(series: DataFrame, config: PanelConfig = PanelConfig(), model: str = "seasonal_naive", calendar: DataFrame | None = None, features: Sequence[str] = ()) -> DataFrame:
+    """(series_id, month, horizon, forecast, scale): forecasts past each series' end, from its last month.
+
+    A forecaster that cannot be fitted raises; no other one takes its place.
+    """
+    if model in CLOSED_FORMS:
+        made = closed_forms(origins(series, config, last=True), config, [model]).withColumn("reason", F.lit("no past month to repeat"))
+    else:
+        made = kernel_panel(series, config, [model], calendar, features, last=True)
+    reason = F.concat(F.lit(f"{model}: "), F.coalesce("reason", F.lit("no forecast")))
+    forecast = F.when(F.col("predicted").isNotNull(), F.col("predicted")).otherwise(F.raise_error(reason).cast("double"))
+    return made.select("series_id", F.col("target").alias("month"), "horizon", forecast.alias("forecast"), F.col("mase_scale").alias("scale"))
 
 
 def planning_table(forecast: DataFrame, bands: DataFrame, model: str, ratio_per: float | None = None, minimum: int = 0) -> DataFrame:
@@ -47,3 +84,18 @@ def planning_table(forecast: DataFrame, bands: DataFrame, model: str, ratio_per:
     days = days_in_month(F.col("month"))
     out = forecast.join(wide, "horizon", "left").select("series_id", "month", "horizon", "forecast", edge("clean_lo").alias("lo"), edge("clean_hi").alias("hi"), edge("shock_lo").alias("shock_lo"), edge("shock_hi").alias("shock_hi"), days.alias("days_in_month"), (F.col("forecast") / days).alias("daily_mean"))
     return out if ratio_per is None else out.withColumn("need", F.greatest(F.lit(minimum).cast("long"), F.ceil(F.col("forecast") / ratio_per)))
+
+
+def with_festivals(plan: DataFrame, days: DataFrame) -> DataFrame:
+    """The plan with its months' festival days, their dates and names, and the load that they would carry as average days.
+
+    ``days``: (date, festival_id), a row for each festival's day; they are summed to a row a month before they meet the plan.
+    """
+    per = days.groupBy(F.trunc("date", "month").alias("month")).agg(F.count("*").alias("festival_days"), F.concat_ws("; ", F.array_sort(F.collect_list(F.date_format("date", "yyyy-MM-dd")))).alias("festival_dates"), F.concat_ws("; ", F.array_sort(F.collect_set("festival_id"))).alias("festivals"))
+    out = plan.join(per, "month", "left").fillna(0, ["festival_days"]).fillna("", ["festival_dates", "festivals"])
+    return out.withColumn("festival_day_load", F.col("daily_mean") * F.col("festival_days"))
+
+
+def with_needs(plan: DataFrame, ratios: Sequence[Ratio]) -> DataFrame:
+    """The plan with a column need_<id> for each resource."""
+    return plan.withColumns({f"need_{r.id}": requirement(F.col(BASES[r.basis]), r.per, r.minimum).cast("long") for r in ratios})

@@ -284,6 +284,39 @@ def planning_table(spark, sf):
     return pl.planning_table(pl.forward(flows.lineitem_series(spark, sf), flows.CONFIG), pl.error_bands(d), "seasonal_naive", 100.0, 2)
 
 
+# Days invented for these tables.
+HOLIDAYS = (("feast", dt.date(2001, 12, 30), 3), ("fair", dt.date(2002, 1, 1), 2), ("feast", dt.date(2002, 2, 10), 1), ("fair", dt.date(1999, 1, 5), 4))
+RATIOS = (pl.Ratio("guides", 100, "monthly_total", 2), pl.Ratio("beds", 7, "daily_mean"), pl.Ratio("stalls", 5, "festival_day_total", 1))
+
+
+def holidays(spark: SparkSession) -> DataFrame:
+    """(date, festival_id), a row for each day."""
+    df = spark.createDataFrame(list(HOLIDAYS), "festival_id string, first date, days int")
+    return df.select(F.explode(F.expr("sequence(first, date_add(first, days - 1))")).alias("date"), "festival_id")
+
+
+FORWARD = ", fp AS (SELECT l.series_id, CAST(l.month + to_months(CAST(h.h AS INTEGER)) AS DATE) AS month, CAST(h.h AS INTEGER) AS horizon, l.y + h.h * (l.y - l.first_y) / (l.pos - 1) AS forecast, l.scale FROM o l JOIN (SELECT unnest([1, 2, 3]) AS h) h ON l.pos = l.n)"
+LOADED = ", hd AS (SELECT festival_id, CAST(unnest(generate_series(first, first + to_days(CAST(n - 1 AS INTEGER)), INTERVAL 1 DAY)) AS DATE) AS date FROM (VALUES " + ", ".join(f"('{f}', DATE '{d}', {n})" for f, d, n in HOLIDAYS) + ") v(festival_id, first, n)), hm AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS k, string_agg(strftime(date, '%Y-%m-%d'), '; ' ORDER BY date) AS dates, string_agg(DISTINCT festival_id, '; ' ORDER BY festival_id) AS names FROM hd GROUP BY 1), fl AS (SELECT fp.*, coalesce(k, 0) AS k, coalesce(dates, '') AS dates, coalesce(names, '') AS names, forecast / day(last_day(fp.month)) AS daily FROM fp LEFT JOIN hm ON hm.month = fp.month)"
+
+
+@register("forward_forecast", _flow("l_returnflag") + FORWARD + f"SELECT series_id, month, horizon, {_r('forecast', 'forecast')}, {_r('scale', 'scale')} FROM fp")
+def forward_forecast(spark, sf):
+    return pl.forward(flows.lineitem_series(spark, sf, "l_returnflag"), flows.CONFIG, "drift")
+
+
+@register("planning_needs", _flow() + FORWARD + LOADED + f"SELECT series_id, month, horizon, {_r('forecast', 'forecast')}, {_r('daily', 'daily_mean')}, k AS festival_days, dates AS festival_dates, names AS festivals, {_r('daily * k', 'festival_day_load')}, CAST(greatest(2, ceil(forecast / 100.0)) AS BIGINT) AS need_guides, CAST(greatest(0, ceil(daily / 7.0)) AS BIGINT) AS need_beds, CAST(greatest(1, ceil(daily * k / 5.0)) AS BIGINT) AS need_stalls FROM fl")
+def planning_needs(spark, sf):
+    plan = pl.planning_table(pl.forward(flows.lineitem_series(spark, sf), flows.CONFIG, "drift"), pl.error_bands(flows.labelled(spark, sf)), "drift")
+    needed = pl.with_needs(pl.with_festivals(plan, holidays(spark)), RATIOS)
+    return needed.drop("lo", "hi", "shock_lo", "shock_hi", "days_in_month")
+
+
+@register("forward_fitted")
+def forward_fitted(spark, sf):
+    """Forecasts past the end by a fitted forecaster with calendar features."""
+    return pl.forward(flows.lineitem_series(spark, sf), pn.PanelConfig(48, (1, 2, 3)), "sarimax_cal", ls.features(spark, *SPAN), ["festival_days", "lunar_drift_days"])
+
+
 @register("panel_rectangularity", _flow() + ", cut AS (SELECT * FROM sc WHERE NOT (model = 'drift' AND month(origin) = 5 AND horizon = 2)) SELECT model, count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT origin, horizon FROM cut)) - count(*) AS missing FROM cut GROUP BY model HAVING count(*) <> (SELECT count(*) FROM (SELECT DISTINCT origin, horizon FROM cut))")
 def panel_rectangularity(spark, sf):
     return pn.ragged(flows.panel(spark, sf).where("NOT (model = 'drift' AND month(origin) = 5 AND horizon = 2)"))

@@ -12,9 +12,10 @@ from ..errors import ConfigError, MissingInput
 from ..operators.bootstrap import BootstrapConfig
 from ..operators.kernels import KERNELS
 from ..operators.lunisolar import Festival
-from ..operators.panel import PanelConfig
+from ..operators.panel import CLOSED_FORMS, PanelConfig
+from ..operators.planning import BASES, BEST_CLEAN, Ratio
+from ..sources.ingest import TableSpec
 
-CLOSED_FORMS = ("naive", "seasonal_naive", "drift", "level_shift")
 REGISTRY = (*CLOSED_FORMS, *KERNELS)
 NEEDS_CALENDAR = ("sarimax_cal",)
 # name, treatment, control: what one setting changes
@@ -91,3 +92,59 @@ def load_arms(path: str) -> list[tuple[str, str]]:
     if len(arms) < 2 or len({n for n, _ in arms}) != len(arms):
         raise ConfigError(f"{path}: needs two or more arms with different names")
     return arms
+
+
+@dataclass(frozen=True)
+class OperationsConfig:
+    model: str
+    horizons: tuple[int, ...]
+    confidence: float
+    ratios: tuple[Ratio, ...]
+
+
+def load_operations(path: str) -> OperationsConfig:
+    """What to forecast with, how far, and the resources to plan; a ratio has to state its basis."""
+    raw, _ = _read(path)
+    model = str(raw.get("model", BEST_CLEAN))
+    if model not in (BEST_CLEAN, *REGISTRY):
+        raise ConfigError(f"{path}: unknown model {model!r}")
+    horizons = tuple(sorted({int(h) for h in raw.get("horizons", range(1, 7))}))
+    PanelConfig(horizons=horizons)
+    confidence = float(raw.get("confidence", 0.9))
+    if not 0 < confidence < 1:
+        raise ConfigError(f"{path}: confidence {confidence}")
+    ratios = []
+    for r in (raw.get("planning") or {}).get("ratios") or ():
+        if lacking := {"id", "per_pilgrims", "basis"} - set(r):
+            raise ConfigError(f"{path}: a ratio lacks {', '.join(sorted(lacking))}")
+        if r["basis"] not in BASES:
+            raise ConfigError(f"{path}: {r['id']} has basis {r['basis']!r}; known are {', '.join(BASES)}")
+        ratios.append(Ratio(str(r["id"]), float(r["per_pilgrims"]), r["basis"], int(r.get("minimum", 0))))
+    return OperationsConfig(model, horizons, confidence, tuple(ratios))
+
+
+@dataclass(frozen=True)
+class IngestFile:
+    path: str
+    spec: TableSpec
+    sheet: str | None = None
+
+
+def load_ingest(path: str) -> dict[str, IngestFile]:
+    """The monthly and the annual table to bring in. Both are required: only published totals catch a dropped digit."""
+    raw, _ = _read(path)
+    source = raw.get("source") or {}
+    blank = [k for k in ("id", "publisher", "title", "accessed") if not source.get(k)]
+    if blank or any("CHANGE ME" in str(v).replace("-", " ") for v in source.values()):
+        raise ConfigError(f"{path}: source lacks {', '.join(blank) or 'real values'}")
+    out = {}
+    for section, key in (("monthly", "month"), ("annual", "year")):
+        block = raw.get(section) or {}
+        if lacking := [k for k in ("path", "columns", "unit") if k not in block]:
+            raise ConfigError(f"{path}: {section} lacks {', '.join(lacking)}")
+        columns = block["columns"]
+        if lacking := [k for k in (key, "pilgrims") if k not in columns]:
+            raise ConfigError(f"{path}: {section}.columns lacks {', '.join(lacking)}")
+        form = block.get("month_format", "") if section == "monthly" else "%Y"
+        out[section] = IngestFile(str(block["path"]), TableSpec(str(columns[key]), str(columns["pilgrims"]), form, str(block["unit"]), str(source["id"])), block.get("sheet"))
+    return out
