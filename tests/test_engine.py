@@ -232,6 +232,48 @@ def test_choice_of_the_planning_model(spark):
             pl.choose_model(panel, name)
 
 
+def test_month_lists_and_summaries(spark):
+    rows = [("<tr><td>1</td><td>Jan 2020</td><td>1,23,456</td></tr><tr><td>2</td><td>Sept. 2021</td><td>7</td></tr><tr><td>3</td><td>Janet 2020</td><td>7</td></tr><tr><td>4</td><td>2019</td><td>81.25</td></tr>",)]
+    cells = html.table_cells(spark.createDataFrame([(1, f"<table>{x}</table>") for (x,) in rows], "page_id long, html string"))
+    assert sorted((r.month, r.y) for r in html.month_list(cells).collect()) == [(dt.date(2020, 1, 1), 123456), (dt.date(2021, 9, 1), 7)]
+    assert [(r.year, float(r.lakh)) for r in html.lakh_summary(cells).collect()] == [(2019, 81.25)]
+
+
+def test_publications_have_to_agree(spark):
+    s = series(spark, wave(12))
+    sr.check_shared_months(s, s.limit(5))
+    with pytest.raises(ContractViolation, match="1990-04"):
+        sr.check_shared_months(s, s.withColumn("y", F.when(F.month("month") == 4, 1.0).otherwise(F.col("y"))))
+    annual = spark.createDataFrame([(2000 + i, 8_000_000 + i) for i in range(6)], "year int, total long")
+    published = spark.createDataFrame([(2000 + i, 80.02 if i < 3 else 80.01) for i in range(6)], "year int, lakh double")
+    assert sr.check_rounded(annual, published).count() == 3
+    with pytest.raises(ContractViolation, match="2005"):
+        sr.check_rounded(annual, published.withColumn("lakh", F.lit(81.0)))
+
+
+def test_metrics_survive_their_file(spark, tmp_path):
+    p = wd.label(pn.score(pn.closed_forms(pn.origins(series(spark, wave(40)), SMALL), SMALL, ("naive",))), wd.window_table(spark, [wd.ShockWindow("w", month(30), month(31))]))
+    path = str(tmp_path / "m")
+    report.write_metrics(p, path)
+    back = report.read_metrics(spark, path)
+    assert dict(back.dtypes) == dict(p.dtypes)
+    key = ("origin", "horizon")
+    for a, b in zip(p.orderBy(*key).collect(), back.orderBy(*key).collect(), strict=True):
+        assert a.mase == pytest.approx(b.mase) and (a.target, a.regime, a.shock_window) == (b.target, b.regime, b.shock_window)
+    with pytest.raises(MissingInput):
+        report.read_metrics(spark, str(tmp_path / "none"))
+
+
+def test_any_table(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text("Month,Visitor total\nJan 2020,007\n")
+    t = ingest.read_any(spark, str(p))
+    assert t.first()[1] == "007" and "007" in ingest.inspect(t) and "month: Month, pilgrims: Visitor total" in ingest.inspect(t)
+    assert ingest.guess(["Total", "Visitors"], ("visitor", "total")) == "Visitors"
+    with pytest.raises(MissingInput):
+        ingest.read_any(spark, str(tmp_path / "none.csv"))
+
+
 def test_splice(tmp_path):
     p = tmp_path / "r.md"
     p.write_text("a\n<!-- BEGIN RESULTS -->old<!-- END RESULTS -->\nb")

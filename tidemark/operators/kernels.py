@@ -254,6 +254,11 @@ def applicability(panel: DataFrame) -> DataFrame:
     return per.groupBy("model").agg(F.count("*").alias("origins"), F.count_if(F.col("reason").isNull()).alias("fittable"), F.count("reason").alias("failed"), F.min(F.when(F.col("reason").isNotNull(), F.col("origin"))).alias("first_failure"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("origin"))).alias("reason"))
 
 
+def inapplicable(status: DataFrame) -> DataFrame:
+    """Rows of ``applicability`` whose model could not be fitted at every origin: an absence that a report has to show."""
+    return status.where("failed > 0")
+
+
 def detector(scores: DataFrame, dwell: int) -> DataFrame:
     """(series_id, in_shock) from rows (series_id, month, score): the detector as a fold over each ordered series."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("month", "score"))), lambda x: x["score"])

@@ -87,3 +87,37 @@ def ablations(table: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFr
     c = table.select(F.col("model").alias("control"), *[F.col(r).alias(f"without_{r}") for r in REGIMES])
     deltas = [(F.col(f"with_{r}") - F.col(f"without_{r}")).alias(f"delta_{r}") for r in REGIMES]
     return p.join(t, "treatment").join(c, "control").select("ablation", "treatment", "control", *[f"{x}_{r}" for r in REGIMES for x in ("with", "without")], *deltas)
+
+
+def winners(board: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each group's best model in either regime, with its rank in the other one; ties go to the name that sorts first.
+
+    ``board``: ``per_regime`` of the same ``by``. A group without scores in a regime has nulls there.
+    """
+    def first(regime: str, other: str) -> list[Column]:
+        m = F.min(F.when(F.col(regime).isNotNull(), F.struct(regime, "model", f"{other}_rank")))
+        return [m["model"].alias(f"best_{regime}"), m[f"{other}_rank"].alias(f"best_{regime}_{other}_rank")]
+
+    return board.groupBy(*by).agg(*first("clean", "shock"), *first("shock", "clean"), F.count("*").alias("n_models"))
+
+
+def movement(per_arm: DataFrame, baseline: str) -> DataFrame:
+    """(model, regime, n_arms, base_rank, least_rank, most_rank, holds_first): how a rank moves over the arms.
+
+    ``holds_first``: first in the baseline and in every other arm.
+    """
+    long = per_arm.select("arm", "model", F.explode(F.array(*[F.struct(F.lit(r).alias("regime"), F.col(f"{r}_rank").alias("rank")) for r in REGIMES])).alias("r")).select("arm", "model", "r.regime", "r.rank").where("rank is not null")
+    return long.groupBy("model", "regime").agg(F.count("*").alias("n_arms"), F.max(F.when(F.col("arm") == baseline, F.col("rank"))).alias("base_rank"), F.min("rank").alias("least_rank"), F.max("rank").alias("most_rank"), F.bool_and(F.col("rank") == 1).alias("holds_first"))
+
+
+def headline(board: DataFrame, shares: DataFrame, challengers: int = 3) -> DataFrame:
+    """(model, opponent, regime, p_beats): the comparisons that a report leads with.
+
+    The best model of shock months meets the ``challengers`` best others of clean months, in shock months; the best of
+    clean months meets it in clean months. ``board`` is a row a model, ``shares`` are the bootstrap's win shares.
+    """
+    lead = F.broadcast(winners(board).select("best_clean", "best_shock"))  # one row
+    near = board.where("clean is not null").join(lead, F.col("model") != F.col("best_shock")).orderBy("clean", "model").limit(challengers)
+    wanted = near.select(F.col("best_shock").alias("model"), F.col("model").alias("opponent"), F.lit("shock").alias("regime"))
+    wanted = wanted.unionByName(lead.where("best_clean <> best_shock").select(F.col("best_clean").alias("model"), F.col("best_shock").alias("opponent"), F.lit("clean").alias("regime")))
+    return wanted.join(shares, ["model", "opponent", "regime"]).select("model", "opponent", "regime", "p_beats")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ContractViolation, MissingInput
@@ -93,7 +93,38 @@ def forecast_and_actual(panel: DataFrame, horizon: int = 1) -> DataFrame:
     return one.select("series_id", "target", "actual", "model", "predicted", "regime")
 
 
+def rank_pairs(panel: DataFrame) -> DataFrame:
+    """The data of a slope plot and of a bar plot: each model's mean score and rank in both regimes."""
+    return lb.per_regime(panel).select("model", "clean", "shock", "clean_rank", "shock_rank")
+
+
+def series_and_windows(series: DataFrame, months: DataFrame) -> DataFrame:
+    """The data of a series plot: each month's value and the window that shades it. ``months``: ``windows.month_labels``."""
+    return series.join(F.broadcast(months.withColumnRenamed("target", "month")), "month", "left").select("series_id", "month", "y", "shock_window")
+
+
 def write_metrics(panel: DataFrame, path: str) -> None:
     """Doubles at 12 significant digits, so that a run that changes nothing writes the same text."""
     kept = [F.format_string("%.12g", F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in panel.dtypes]
     panel.select(kept).write.mode("errorifexists").option("header", True).csv(path)
+
+
+# Columns of a panel's file that are not doubles.
+TYPES = {"series_id": "string", "origin": "date", "target": "date", "horizon": "int", "model": "string", "shock_window": "string", "regime": "string", "reason": "string", "config_hash": "string", "shocks_hash": "string"}
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_metrics`` wrote, with its types; a path that is not there or has no columns raises."""
+    try:
+        raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    except Exception as e:
+        raise MissingInput(f"{path}: {e}") from e
+    if not raw.columns:
+        raise MissingInput(f"{path}: nothing written there")
+    return raw.select([F.col(c).cast(TYPES.get(c, "double")).alias(c) for c in raw.columns])
+
+
+def write_calendar(days: DataFrame, path: str) -> None:
+    """A calendar's rows as CSV, dates as YYYY-MM-DD."""
+    kept = [F.date_format(c, "yyyy-MM-dd").alias(c) if t == "date" else F.col(c) for c, t in days.dtypes]
+    days.select(kept).write.mode("errorifexists").option("header", True).csv(path)

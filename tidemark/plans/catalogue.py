@@ -284,6 +284,60 @@ def planning_table(spark, sf):
     return pl.planning_table(pl.forward(flows.lineitem_series(spark, sf), flows.CONFIG), pl.error_bands(d), "seasonal_naive", 100.0, 2)
 
 
+@register("horizon_winners", _flow() + BOARD.format(by="horizon,", src="lab") + "SELECT c.horizon, c.model AS best_clean, c.shock_rank AS best_clean_shock_rank, z.model AS best_shock, z.clean_rank AS best_shock_clean_rank, c.k AS n_models FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY clean, model) AS i, count(*) OVER (PARTITION BY horizon) AS k FROM b) c JOIN (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY shock, model) AS i FROM b) z ON z.horizon = c.horizon AND c.i = 1 AND z.i = 1")
+def horizon_winners(spark, sf):
+    return lb.winners(lb.per_regime(flows.labelled(spark, sf), by=["horizon"]), ["horizon"])
+
+
+@register("sensitivity_movement", _flow() + ARMS + BOARD.format(by="arm,", src="sl") + ", lr AS (SELECT arm, model, 'clean' AS regime, clean_rank AS rank FROM b UNION ALL SELECT arm, model, 'shock', shock_rank FROM b) SELECT model, regime, count(*) AS n_arms, max(rank) FILTER (arm = 'declared') AS base_rank, min(rank) AS least_rank, max(rank) AS most_rank, bool_and(rank = 1) AS holds_first FROM lr WHERE rank IS NOT NULL GROUP BY ALL")
+def sensitivity_movement(spark, sf):
+    return lb.movement(lb.per_regime(_arms(spark, sf), by=["arm"]), "declared")
+
+
+WINS = ", pb AS (SELECT x.model, z.model AS opponent, x.regime, avg(CASE WHEN x.mean < z.mean THEN 1.0 ELSE 0.0 END) AS p, count(*) AS n FROM dr x JOIN dr z ON x.b = z.b AND x.regime = z.regime AND x.model <> z.model GROUP BY ALL)"
+
+
+@register("headline_comparisons", _flow() + DRAWS + WINS + BOARD.format(by="", src="lab") + ", ld AS (SELECT arg_min(model, clean) AS best_clean, arg_min(model, shock) AS best_shock FROM b), wt AS (SELECT best_shock AS model, model AS opponent, 'shock' AS regime FROM (SELECT best_shock, b.model, row_number() OVER (ORDER BY clean, b.model) AS i FROM b, ld WHERE b.model <> best_shock) WHERE i <= 3 UNION ALL SELECT best_clean, best_shock, 'clean' FROM ld WHERE best_clean <> best_shock) " + f"SELECT model, opponent, regime, {_r('p', 'p_beats')} FROM wt JOIN pb USING (model, opponent, regime)")
+def headline_comparisons(spark, sf):
+    d = flows.labelled(spark, sf)
+    return lb.headline(lb.per_regime(d), bs.win_shares(bs.resample(d, BOOT)))
+
+
+@register("bootstrap_report", _flow() + DRAWS + WINS + ", wd AS (SELECT b, model, max(mean) FILTER (regime = 'clean') AS clean, max(mean) FILTER (regime = 'shock') AS shock FROM dr GROUP BY ALL)" + RHO.format(by="b,", src="wd") + f", al AS (SELECT 'mean' AS statistic, model, CAST(NULL AS VARCHAR) AS opponent, regime, CAST(NULL AS DOUBLE) AS point, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi, count(*) AS n_usable FROM dr GROUP BY ALL UNION ALL SELECT 'p_beats', model, opponent, regime, p, NULL, NULL, n FROM pb UNION ALL SELECT 'p_inversion', NULL, NULL, NULL, avg(CASE WHEN rho < 0 THEN 1.0 WHEN rho IS NOT NULL THEN 0.0 END), quantile_cont(rho, 0.025), quantile_cont(rho, 0.975), count(rho) FROM rh) SELECT statistic, model, opponent, regime, {_r('point', 'point')}, {_r('lo', 'lo')}, {_r('hi', 'hi')}, n_usable FROM al")
+def bootstrap_report(spark, sf):
+    """All statistics of one resampling in a long table. The draws, a few rows a resample, are cached for their three readers."""
+    draws = bs.resample(flows.labelled(spark, sf), BOOT).cache()
+    parts = {"mean": bs.intervals(draws), "p_beats": bs.win_shares(draws).withColumnRenamed("p_beats", "point"), "p_inversion": bs.inversion(draws).withColumnRenamed("p_inversion", "point")}
+    return bs.assemble([p.select(F.lit(k).alias("statistic"), "*") for k, p in parts.items()]).select("statistic", "model", "opponent", "regime", "point", "lo", "hi", "n_usable")
+
+
+@register("unverified_windows", f"SELECT count(*) AS n, count(*) AS n_unverified, string_agg(id, ', ' ORDER BY id) AS names FROM ({_windows(flows.DECLARED)})")
+def unverified_windows(spark, sf):
+    return wd.unverified(wd.window_table(spark, flows.DECLARED))
+
+
+@register("series_and_windows", _flow() + "SELECT s.series_id, s.month, s.y, win.id AS shock_window FROM s LEFT JOIN win ON s.month BETWEEN win.start_month AND win.end_month")
+def series_and_windows(spark, sf):
+    return report.series_and_windows(flows.lineitem_series(spark, sf), wd.month_labels(wd.window_table(spark, flows.DECLARED)))
+
+
+@register("rank_pairs", _flow() + BOARD.format(by="", src="lab") + f"SELECT model, {_r('clean', 'clean')}, {_r('shock', 'shock')}, clean_rank, shock_rank FROM b")
+def rank_pairs(spark, sf):
+    return report.rank_pairs(flows.labelled(spark, sf))
+
+
+@register("shared_months", _flow("l_returnflag") + ", ot AS (SELECT series_id, month, y + CASE WHEN month(month) = 5 THEN 1 ELSE 0 END AS y FROM s) SELECT s.series_id, s.month, s.y, ot.y AS other FROM s JOIN ot USING (series_id, month) WHERE s.y <> ot.y")
+def shared_months(spark, sf):
+    s = flows.lineitem_series(spark, sf, "l_returnflag")
+    return sr.disagreements(s, s.withColumn("y", F.col("y") + F.when(F.month("month") == 5, 1).otherwise(0)))
+
+
+@register("rounded_totals", _flow() + ", an AS (SELECT year(month) AS year, CAST(sum(y) AS BIGINT) * 997 AS total FROM s GROUP BY 1), sm AS (SELECT year, CAST(total / 100000 AS BIGINT) AS lakh FROM an) SELECT CAST(year AS INTEGER) AS year, total, lakh FROM an JOIN sm USING (year) WHERE abs(total - lakh * 100000) > 1000")
+def rounded_totals(spark, sf):
+    annual = flows.lineitem_series(spark, sf).groupBy(F.year("month").alias("year")).agg((F.sum("y") * 997).alias("total"))
+    return sr.rounded_differences(annual, annual.select("year", F.round(F.col("total") / 100_000).cast("long").alias("lakh")))
+
+
 # Days invented for these tables.
 HOLIDAYS = (("feast", dt.date(2001, 12, 30), 3), ("fair", dt.date(2002, 1, 1), 2), ("feast", dt.date(2002, 2, 10), 1), ("fair", dt.date(1999, 1, 5), 4))
 RATIOS = (pl.Ratio("guides", 100, "monthly_total", 2), pl.Ratio("beds", 7, "daily_mean"), pl.Ratio("stalls", 5, "festival_day_total", 1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import parse_count
+
 
 def _parts(text: Column, tag: str) -> Column:
     """The inner text of every such element, in order."""
@@ -29,6 +31,7 @@ def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 def tag_counts(pages: DataFrame) -> DataFrame:
     """Links and table cells of each page."""
+
     def n(pattern: str) -> Column:
         return F.regexp_count("html", F.lit(pattern)).cast("long")
 
@@ -41,3 +44,23 @@ def month_matrix(cells: DataFrame, months: list[str]) -> DataFrame:
     ok = wide.where((F.size("c") == len(months) + 2) & F.col("c")[0]["value"].rlike("^[0-9]{4}$"))
     named = F.array(*[F.struct(F.lit(i + 1).alias("month"), F.col("c")[i + 1]["value"].alias("value")) for i in range(len(months))])
     return ok.select(F.col("c")[0]["value"].cast("int").alias("year"), F.explode(named).alias("m"), F.col("c")[len(months) + 1]["value"].alias("total")).select("year", "m.month", "m.value", "total")
+
+
+def month_list(cells: DataFrame) -> DataFrame:
+    """(page_id, month, y) from rows whose second cell is a month and year as "Jan 2020" and whose third is a count.
+
+    A month's name may be whole, cut to three or more letters, or end in a dot; other rows are left out. A month whose
+    count cannot be read has null.
+    """
+    wide = cells.groupBy("page_id", "table", "row").agg(*[F.max(F.when(F.col("cell") == i, F.col("value"))).alias(f"c{i}") for i in (1, 2)])
+    name, year = (F.regexp_extract("c1", r"^([A-Za-z]{3,9})[.]?\s+([0-9]{4})$", i) for i in (1, 2))
+    month = F.try_to_timestamp(F.concat(F.lit("1 "), F.initcap(F.substring(name, 1, 3)), F.lit(" "), year), F.lit("d MMM yyyy")).cast("date")
+    whole = F.lower(F.date_format(month, "MMMM")).startswith(F.lower(name))
+    return wide.select("page_id", month.alias("month"), whole.alias("whole"), parse_count(F.col("c2")).alias("y")).where("whole").drop("whole")
+
+
+def lakh_summary(cells: DataFrame) -> DataFrame:
+    """(page_id, year, lakh) from rows whose second cell is a year and whose third a decimal number; other rows are left out."""
+    wide = cells.groupBy("page_id", "table", "row").agg(*[F.max(F.when(F.col("cell") == i, F.col("value"))).alias(f"c{i}") for i in (1, 2)])
+    lakh = F.regexp_replace("c2", ",", "").try_cast("decimal(18,4)")
+    return wide.where(F.col("c1").rlike("^[0-9]{4}$")).select("page_id", F.col("c1").cast("int").alias("year"), lakh.alias("lakh")).where("lakh is not null")

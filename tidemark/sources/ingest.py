@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError, ContractViolation
+from ..errors import ConfigError, ContractViolation, MissingInput
 from ..functions.metrics import UNITS, scale_unit
 
 # Strftime directives in Spark's date patterns.
@@ -49,6 +50,38 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
+def read_any(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A CSV, Parquet or Excel table with every column as text; Excel files need pandas' reader to be installed."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    try:
+        if kind in ("xlsx", "xls", "xlsm"):
+            import pandas as pd
+
+            table = pd.read_excel(path, sheet_name=sheet or 0, dtype=str)
+            return spark.createDataFrame(table.astype(object).where(table.notna(), None), ", ".join(f"`{c}` string" for c in table.columns))
+        raw = spark.read.parquet(path) if kind == "parquet" else spark.read.option("header", True).csv(path)
+    except ImportError as e:
+        raise ConfigError(f"{path}: {e}; export the sheet as CSV instead") from e
+    except Exception as e:
+        raise MissingInput(f"{path}: {e}") from e
+    return raw.select([F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns])
+
+
+def guess(columns: Sequence[str], needles: Sequence[str]) -> str | None:
+    """The first column, by order of the needles, whose name holds one."""
+    return next((c for n in needles for c in columns if n in c.strip().lower()), None)
+
+
+def inspect(df: DataFrame, samples: int = 3) -> str:
+    """Columns with a few of their values, and a settings file to be edited; guessed names are never used unread."""
+    head = df.limit(100).collect()
+    lines = [f"{c}: {', '.join(str(r[c]) for r in [r for r in head if r[c] is not None][:samples]) or '(empty)'}" for c in df.columns]
+    month = guess(df.columns, ("month", "date", "period")) or "CHANGE ME"
+    count = guess(df.columns, ("pilgrim", "visitor", "count", "total")) or "CHANGE ME"
+    lines += ["", "source: {id: CHANGE ME, publisher: CHANGE ME, title: CHANGE ME, accessed: CHANGE ME}", f"monthly: {{path: CHANGE ME, unit: CHANGE ME, month_format: CHANGE ME, columns: {{month: {month}, pilgrims: {count}}}}}", "annual: {path: CHANGE ME, unit: CHANGE ME, columns: {year: CHANGE ME, pilgrims: CHANGE ME}}"]
+    return "\n".join(lines) + "\n"
+
+
 def build(raw: DataFrame, spec: TableSpec) -> DataFrame:
     """(series_id, month, y, source_id); values that break the declared format or unit, and repeated months, raise."""
     text, value = F.col(spec.month_column).cast("string"), F.col(spec.count_column).cast("string")

@@ -109,3 +109,29 @@ def check_references(fact: DataFrame, fact_key: str, dimension: DataFrame, key:
     bad = dangling(fact, fact_key, dimension, key).orderBy(key).limit(SHOWN).collect()
     if bad:
         raise ContractViolation(f"{fact_key} without a {key}: " + ", ".join(str(r[0]) for r in bad))
+
+
+def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(series_id, month, y, other) of months that two publications share and count differently."""
+    return a.select("series_id", "month", "y").join(b.select("series_id", "month", F.col("y").alias("other")), ["series_id", "month"]).where(~F.col("y").eqNullSafe(F.col("other")))
+
+
+def check_shared_months(a: DataFrame, b: DataFrame) -> None:
+    bad = disagreements(a, b).orderBy("series_id", "month").limit(SHOWN).collect()
+    if bad:
+        raise ContractViolation("; ".join(f"{r.series_id} {r.month}: {r.y} against {r.other}" for r in bad))
+
+
+def rounded_differences(annual: DataFrame, summary: DataFrame, tolerance: float = 0.01, unit: int = 100_000) -> DataFrame:
+    """(year, total, lakh) of years whose exact total is not the rounded published one; exact decimals throughout."""
+    off = F.abs(F.col("total").cast("decimal(20,0)") - F.col("lakh").cast("decimal(18,4)") * F.lit(unit))
+    return annual.select("year", "total").join(summary.select("year", "lakh"), "year").where(off > F.lit(round(tolerance * unit)))
+
+
+def check_rounded(annual: DataFrame, summary: DataFrame, most: int = 3) -> DataFrame:
+    """The years that differ, if there are at most ``most``: a few are slips of the publisher, many a misread table."""
+    found = rounded_differences(annual, summary)
+    bad = found.orderBy("year").limit(SHOWN).collect()
+    if len(bad) > most:
+        raise ContractViolation("; ".join(f"{r.year}: {r.total} against {r.lakh} lakh" for r in bad))
+    return found

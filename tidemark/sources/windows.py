@@ -78,6 +78,12 @@ def overlaps(windows: DataFrame) -> DataFrame:
     return follow.where("next_start <= end_month").select("id", "next_id")
 
 
+def unverified(windows: DataFrame) -> DataFrame:
+    """One row: n windows, how many have a citation that nobody has checked yet, and their names."""
+    pending = ~F.coalesce("verified", F.lit(False))
+    return windows.agg(F.count("*").alias("n"), F.count_if(pending).alias("n_unverified"), F.concat_ws(", ", F.array_sort(F.collect_list(F.when(pending, F.col("id"))))).alias("names"))
+
+
 def check_disjoint(windows: DataFrame) -> DataFrame:
     bad = overlaps(windows).collect()
     if bad:
