@@ -3,16 +3,16 @@ import pytest
 from tidemark.errors import ConfigError, MissingInput
 from tidemark.plans import config
 
-GOOD = "min_train_months: 24\nhorizons: [1, 2]\nmodels: [naive, theta]\nbootstrap: {n_resamples: 10, block_origins: 4, seed: 1}\n"
+GOOD = "origins: {min_train_months: 24, step_months: 2}\nseed: 7\nhorizons: [1, 2]\nmodels: [naive, theta]\nbootstrap: {n_resamples: 10, block_origins: 4, metric: mase}\n"
 
 
 def test_backtest_file(tmp_path):
     p = tmp_path / "b.yaml"
     p.write_text(GOOD)
     c = config.load_backtest(str(p))
-    assert c.panel.min_train == 24 and c.models == ("naive", "theta") and c.bootstrap.block == 4 and len(c.config_hash) == 12
+    assert c.panel.min_train == 24 and c.models == ("naive", "theta") and c.bootstrap.block == 4 and c.panel.step == 2 and c.bootstrap.seed == 7 and len(c.config_hash) == 12
     assert "drift" in c.excluded and "naive" not in c.excluded
-    for old, new in (("[1, 2]", "[0]"), ("[naive, theta]", "[other]"), ("models: [naive, theta]", "window: sliding"), ("seed: 1", "confidence: 2")):
+    for old, new in (("[1, 2]", "[0]"), ("[naive, theta]", "[other]"), ("models: [naive, theta]", "window: sliding"), ("metric: mase", "confidence: 2")):
         p.write_text(GOOD.replace(old, new))
         with pytest.raises(ConfigError):
             config.load_backtest(str(p))
@@ -29,11 +29,12 @@ def test_festivals_and_arms(tmp_path):
         p.write_text(text)
         with pytest.raises(ConfigError):
             config.load_festivals(str(p))
-    p.write_text("sensitivity: {arms: [{name: a, shocks: x}, {name: b, shocks: y}]}")
-    assert config.load_arms(str(p)) == [("a", "x"), ("b", "y")]
     p.write_text("sensitivity: {arms: [{name: a, shocks: x}]}")
-    with pytest.raises(ConfigError):
-        config.load_arms(str(p))
+    assert config.load_arms(str(p), "w") == [("declared", "w"), ("a", "x")]
+    for text in ("a: 1", "sensitivity: {arms: [{name: a, shocks: x}, {name: a, shocks: y}]}", "sensitivity: {arms: [{name: a}]}"):
+        p.write_text(text)
+        with pytest.raises(ConfigError):
+            config.load_arms(str(p), "w")
 
 
 def test_registry_rules():
@@ -58,7 +59,8 @@ def test_ingest_file(tmp_path):
     p = tmp_path / "i.yaml"
     good = "source: {id: s, publisher: p, title: t, accessed: a}\nmonthly: {path: m.csv, unit: lakh, month_format: '%b %Y', columns: {month: When, pilgrims: N}}\nannual: {path: y.csv, unit: absolute, columns: {year: Year, pilgrims: N}}\n"
     p.write_text(good)
-    c = config.load_ingest(str(p))
+    c, source = config.load_ingest(str(p))
+    assert source["publisher"] == "p"
     assert c["monthly"].spec.unit == "lakh" and c["annual"].spec.month_column == "Year" and c["monthly"].path == "m.csv"
     for old, new in (("title: t", "title: CHANGE ME"), ("publisher: p, ", ""), ("unit: lakh", "unit: dozen"), ("month_format: '%b %Y', ", ""), ("annual", "yearly"), ("month: When", "day: When")):
         p.write_text(good.replace(old, new))

@@ -233,14 +233,7 @@ def inversion_share(spark, sf):
 
 def _arms(spark, sf):
     arms = wd.window_table(spark, flows.DECLARED, "declared").unionByName(wd.window_table(spark, flows.REFINED, "refined"))
-    return sensitivity(flows.panel(spark, sf), arms)
-
-
-def sensitivity(panel: DataFrame, arms: DataFrame) -> DataFrame:
-    """The panel labelled under every arm at once: an arm a copy, months joined by arm and target."""
-    names = F.broadcast(arms.select("arm").distinct())
-    months = F.broadcast(wd.month_labels(arms))
-    return panel.join(names).join(months, ["arm", "target"], "left").withColumn("regime", F.when(F.col("shock_window").isNull(), "clean").otherwise("shock"))
+    return wd.label_arms(flows.panel(spark, sf), arms)
 
 
 ARMS = ", ar AS (" + _windows(flows.DECLARED, "declared") + " UNION ALL " + _windows(flows.REFINED, "refined") + "), sl AS (SELECT sc.*, n.arm, CASE WHEN ar.id IS NULL THEN 'clean' ELSE 'shock' END AS regime FROM sc JOIN (SELECT DISTINCT arm FROM ar) n ON true LEFT JOIN ar ON ar.arm = n.arm AND sc.target BETWEEN ar.start_month AND ar.end_month)"

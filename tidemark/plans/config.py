@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 from dataclasses import dataclass
 from pathlib import Path
@@ -46,6 +47,7 @@ class BacktestConfig:
     models: tuple[str, ...]
     bootstrap: BootstrapConfig
     config_hash: str
+    rectangular: bool = True
 
     @property
     def excluded(self) -> list[str]:
@@ -67,11 +69,12 @@ def load_backtest(path: str) -> BacktestConfig:
     models = tuple(raw.get("models") or ())
     if not models or (unknown := set(models) - set(REGISTRY)):
         raise ConfigError(f"{path}: " + (f"unknown models {sorted(unknown)}" if models else "no models"))
-    panel = PanelConfig(int(raw.get("min_train_months", 120)), tuple(raw.get("horizons") or ()), int(raw.get("step_months", 1)), int(raw.get("mase_seasonality", 12)))
+    at = raw.get("origins") or {}
+    panel = PanelConfig(int(at.get("min_train_months", 120)), tuple(raw.get("horizons") or ()), int(at.get("step_months", 1)), int((raw.get("metrics") or {}).get("mase_seasonality", 12)))
     b = raw.get("bootstrap") or {}
     if b.get("metric", "mase") != "mase" or not 0 < float(b.get("confidence", 0.95)) < 1:
         raise ConfigError(f"{path}: bootstrap metric or confidence")
-    return BacktestConfig(panel, models, BootstrapConfig(int(b.get("n_resamples", 2000)), int(b.get("block_origins", 12)), float(b.get("confidence", 0.95)), b.get("seed")), digest)
+    return BacktestConfig(panel, models, BootstrapConfig(int(b.get("n_resamples", 2000)), int(b.get("block_origins", 12)), float(b.get("confidence", 0.95)), b.get("seed", raw.get("seed", 0))), digest, bool(raw.get("rectangular", True)))
 
 
 def load_festivals(path: str) -> tuple[Festival, ...]:
@@ -85,10 +88,22 @@ def load_festivals(path: str) -> tuple[Festival, ...]:
     return tuple(out)
 
 
-def load_arms(path: str) -> list[tuple[str, str]]:
-    """(name, window file) of the arms of a sensitivity run: at least two, differently named."""
+def load_range(path: str) -> tuple[dt.date, dt.date]:
+    """First and last day of the calendar."""
     raw, _ = _read(path)
-    arms = [(a["name"], a["shocks"]) for a in (raw.get("sensitivity") or {}).get("arms") or ()]
+    span = raw.get("range") or {}
+    if not all(isinstance(span.get(k), dt.date) for k in ("start", "end")) or span["end"] < span["start"]:
+        raise ConfigError(f"{path}: range needs a start and a later end")
+    return span["start"], span["end"]
+
+
+def load_arms(path: str, declared: str) -> list[tuple[str, str]]:
+    """(name, window file) of the arms of a sensitivity run, that of the declared windows first: at least two, differently named."""
+    raw, _ = _read(path)
+    entries = (raw.get("sensitivity") or {}).get("arms") or ()
+    if any(not a.get(k) for a in entries for k in ("name", "shocks")):
+        raise ConfigError(f"{path}: an arm needs a name and shocks")
+    arms = [("declared", declared), *((str(a["name"]), str(a["shocks"])) for a in entries)]
     if len(arms) < 2 or len({n for n, _ in arms}) != len(arms):
         raise ConfigError(f"{path}: needs two or more arms with different names")
     return arms
@@ -130,8 +145,8 @@ class IngestFile:
     sheet: str | None = None
 
 
-def load_ingest(path: str) -> dict[str, IngestFile]:
-    """The monthly and the annual table to bring in. Both are required: only published totals catch a dropped digit."""
+def load_ingest(path: str) -> tuple[dict[str, IngestFile], dict[str, str]]:
+    """The monthly and the annual table to bring in, and their source. Both are required: only published totals catch a dropped digit."""
     raw, _ = _read(path)
     source = raw.get("source") or {}
     blank = [k for k in ("id", "publisher", "title", "accessed") if not source.get(k)]
@@ -147,4 +162,4 @@ def load_ingest(path: str) -> dict[str, IngestFile]:
             raise ConfigError(f"{path}: {section}.columns lacks {', '.join(lacking)}")
         form = block.get("month_format", "") if section == "monthly" else "%Y"
         out[section] = IngestFile(str(block["path"]), TableSpec(str(columns[key]), str(columns["pilgrims"]), form, str(block["unit"]), str(source["id"])), block.get("sheet"))
-    return out
+    return out, {k: str(v) for k, v in source.items()}

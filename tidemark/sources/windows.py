@@ -104,3 +104,10 @@ def label(panel: DataFrame, windows: DataFrame) -> DataFrame:
     """
     bare = panel.drop("shock_window", "regime")
     return bare.join(F.broadcast(month_labels(windows)), "target", "left").withColumn("regime", F.when(F.col("shock_window").isNull(), "clean").otherwise("shock"))
+
+
+def label_arms(panel: DataFrame, arms: DataFrame) -> DataFrame:
+    """The panel labelled under every arm at once: an arm a copy, months joined by arm and target."""
+    names = F.broadcast(arms.select("arm").distinct())
+    months = F.broadcast(month_labels(arms))
+    return panel.drop("shock_window", "regime").join(names).join(months, ["arm", "target"], "left").withColumn("regime", F.when(F.col("shock_window").isNull(), "clean").otherwise("shock"))
