@@ -67,3 +67,24 @@ def test_held_out_accuracy(spark, name, fold, label):
     got = catalogue.QUERIES[name](spark, big).join(spark.read.parquet(f"{big}/labels.parquet").select("doc_id", label), "doc_id")
     r = got.where("held_out").selectExpr(f"avg(cast(predicted = {label} AS double)) AS accuracy", "count(*) AS n").first()
     assert r.n > 500 and r.accuracy > 0.97
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_as_by_brute_force(spark, sf):
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    base = [f"w{i}" for i in range(200)]
+    texts += [(10**6 + k, " ".join(f"x{k}" if i in (20 * k, 20 * k + 10) else w for i, w in enumerate(base))) for k in range(10)]
+    texts += [(10**7, " ".join(base[:-50])), (10**7 + 1, "short text"), (10**7 + 2, "Short  text"), (10**7 + 3, "short texts")]
+    least = {i: i for i, _ in texts}
+    pairs = [(i, j) for k, (i, a) in enumerate(texts) for j, b in texts[:k] if _jaccard(a, b) >= 0.8]
+    for _ in texts:
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.id: r.component_id for r in simhash.near_copies(docs).collect()} == least
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))

@@ -216,14 +216,149 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return f.join(classes.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of uint64 that spreads every bit."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def shingle_set(hashes: np.ndarray, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's runs of ``shingle`` words, from its words' hashes; a shorter text is one run."""
+    if not len(hashes):
+        return hashes
+    size = min(shingle, len(hashes))
+    h = np.full(len(hashes) - size + 1, size, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - size + 1 + k]
+        h ^= h >> np.uint64(29)
+    return np.unique(mixed(h))
+
+
+def band_keys(x: np.ndarray, bands: int, width: int) -> np.ndarray:
+    """For each band a hash of its number and its ``width`` MinHash values; none for an empty set."""
+    if not len(x):
+        return x
+    salt = mixed(np.arange(1, 2 * bands * width + 1, dtype=np.uint64))
+    a, b, least = salt[::2] | np.uint64(1), salt[1::2], np.full(bands * width, ~np.uint64(0))
+    for at in range(0, len(x), 4096):
+        least = np.minimum(least, (x[at : at + 4096, None] * a + b).min(axis=0))
+    key = np.arange(bands, dtype=np.uint64)
+    for m in least.reshape(bands, width).T:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + m)
+    return key
+
+
+def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bands: int = 20, width: int = 3, whole_sets: bool = False) -> DataFrame:
+    """(id, cls, n, keys) for each row: ``cls`` tells sets of shingles apart, ``n`` is a set's size; or (cls, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in rows(whole, 250):
+                seen: dict[bytes, int] = {}
+                cls, n, found = [], [], []
+                for text in text_bytes(batch.column(1)):
+                    ws = words(text)
+                    for w in set(ws).difference(seen):
+                        seen[w] = xxhash.xxh64_intdigest(w, SEED)
+                    x = shingle_set(np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws)), shingle)
+                    cls.append(signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)))
+                    n.append(len(x))
+                    found.append(x.tobytes() if whole_sets else band_keys(x, bands, width).view(np.int64))
+                cls = pa.array(cls, pa.int64())
+                if whole_sets:
+                    yield pa.RecordBatch.from_arrays([cls, pa.array(found, pa.binary())], names=["cls", "shingles"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), cls, pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "cls", "n", "keys"])
+
+    schema = "cls long, shingles binary" if whole_sets else "id long, cls long, n long, keys array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _similar(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in rows(whole, 250):
+                near = []
+                for p, q in zip(batch.column("x"), batch.column("y"), strict=True):
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    near.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def shingle_links(classes: DataFrame, sets: DataFrame, threshold: float = 0.8, send: int = 1_000_000) -> DataFrame:
+    """(a, b), enough links between the ``classes`` (cls, n, keys) to connect pairs that share a key and are alike.
+
+    ``sets`` (cls, shingles) may repeat; those in a file with others are kept, found without a shuffle of all sets
+    where there are at most ``send`` of them.
+
+    Every link is checked on the whole sets. Twice each file (sets of one key) is compared with one of its members
+    alone; then what shares a file and is not yet connected is compared pair by pair. So a file of near copies gives
+    no square of pairs, and no pair that a file holds is left out.
+    """
+    files = classes.select("cls", "n", F.explode("keys").alias("key"))
+    several = files.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
+    files = checkpointed(files.join(several, "key"))
+    wanted = checkpointed(files.select("cls").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= send else wanted
+    held = checkpointed(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
+    x, y = held.toDF("a", "x"), held.toDF("b", "y")
+    done = near = files.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    open_ = files.withColumn("root", F.col("cls"))
+    for pick in (F.min, F.max, None):
+        mixed_files = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *([pick(F.struct("cls", "n", "root")).alias("p")] if pick else [])).where("lo < hi")
+        if pick:
+            pairs = open_.join(mixed_files.select("key", "p.*").toDF("key", "cls2", "n2", "root2"), "key")
+        else:
+            rest = checkpointed(open_.join(mixed_files.select("key"), "key", "left_semi"))
+            pairs = rest.join(rest.toDF(*[c if c == "key" else f"{c}2" for c in rest.columns]), "key")
+        fits = F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-9
+        pairs = pairs.where((F.col("root") != F.col("root2")) & fits).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+        pairs = checkpointed(pairs.join(done, ["a", "b"], "left_anti"))
+        done = done.unionByName(pairs)
+        near = checkpointed(near.unionByName(pairs.join(x, "a").join(y, "b").mapInArrow(_similar(threshold), "a long, b long")))
+        if pick:
+            roots = connected(near).withColumnRenamed("node", "cls")
+            open_ = checkpointed(files.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    return near
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row per document: id, component_id, the smallest id reachable over pairs whose sets of shingles have a
+    Jaccard similarity of ``threshold`` or more. Null and blank texts are alike; null ids as in ``near_duplicates``.
+
+    Candidates share one of 20 bands of three MinHash values: a pair at 0.8 shares none in (1 - 0.8^3)^20 = 6 of 10
+    million cases, and every more similar pair in fewer.
+    """
+    f = checkpointed(shingled(docs, id_col, text_col, shingle))
+    each = f.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    sets = shingled(docs, id_col, text_col, shingle, whole_sets=True)
+    roots = connected(shingle_links(each, sets, threshold)).withColumnRenamed("node", "cls")
+    firsts = f.groupBy("cls").agg(F.min("id").alias("first"))
+    classes = checkpointed(firsts.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return f.select("id", "cls").join(classes.join(least, "root").select("cls", "component_id"), "cls").select("id", "component_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(read(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of its smallest doc_id (rows without an id stay)."""
-    d = near_duplicates(docs)
+def _firsts(docs: DataFrame, d: DataFrame) -> DataFrame:
     keep = d.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
     first = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with one row of each group of ``op8_simhash``: that of its smallest doc_id (rows without an id stay)."""
+    return _firsts(docs, near_duplicates(docs))
+
+
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with one row of each group of ``near_copies``: that of its smallest doc_id (rows without an id stay)."""
+    return _firsts(docs, near_copies(docs))
