@@ -369,6 +369,16 @@ def test_secret_spans(spark, docs, none):
     assert secrets.redacted("ab12cd", [("x", 2, 4), ("y", 3, 4)]) == "ab<secret>cd" and secrets.redacted(None, []) is None
 
 
+def test_secrets_after_equals_signs_and_escaped_breaks():
+    key = der(b"\x02\x01\x00", *[b"\x02\x20" + bytes(range(1, 33))] * 5)
+    b64 = base64.b64encode(key).decode()
+    assert secrets.confirmed_spans(f"PRIVATE_KEY={b64}\nX=1") == [("der", 12, 12 + len(b64))]
+    assert secrets.confirmed_spans(f"KEY={key.hex().upper()}") == [("der", 4, 4 + 2 * len(key))]
+    for broken in ("\\n", "\\r\\n", "\\\\n"):
+        pem = f"-----BEGIN PRIVATE KEY-----{broken}{b64[:64]}{broken}{b64[64:]}{broken}-----END PRIVATE KEY-----"
+        assert secrets.confirmed_spans(f'{{"private_key": "{pem}{broken}"}}') == [("pem", 17, 17 + len(pem))]
+
+
 def test_broken_lengths_are_not_keys():
     key = der(b"\x02\x01\x00", *[b"\x02\x20" + bytes(range(1, 33))] * 5)
     assert secrets.is_der_key(key) and not secrets.is_der_key(key[:-1]) and not secrets.is_der_key(key + b"x")

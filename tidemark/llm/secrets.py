@@ -27,8 +27,8 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "ssh", "der")
 
 WORDS = ("passw", "secret", "token", "api")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----((?:[A-Za-z0-9+/=\s]|\\+[nr])*)-----END \1-----")  # line breaks may be escaped
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 
 
 def unbase64(text: str) -> bytes | None:
@@ -108,7 +108,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = unbase64(m[2])
+            body = unbase64(re.sub(r"\\+[nr]", "", m[2]))
             if body and ("KEY" in m[1] or "CERTIFICATE" in m[1]) and (is_der_key(body) or is_ssh_key(body)):
                 found.append(("pem", *m.span()))
     if "eyJ" in text:
