@@ -74,8 +74,8 @@ def test_bpe_is_the_library(docs, none):
     for i, x in ODD:
         ids = t.encode(x or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
-    for words in (bpe.TABLE_WORDS, 1, 0):
-        assert table(bpe.digests(docs, table_words=words), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=str)
+    for shares, block in ((None, bpe.BLOCK_WORDS), (1, 3), (7, 1)):
+        assert table(bpe.digests(docs, shares=shares, block_words=block), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=str)
     assert bpe.digests(none).count() == 0
     back = bpe.decode(bpe.encode(docs))
     assert table(back, "id", "text") == sorted([(i, x or "") for i, x in ODD], key=str)
@@ -84,11 +84,14 @@ def test_bpe_is_the_library(docs, none):
 def test_bpe_cuts_at_every_kind_of_space():
     w = bpe.Words(bpe.public_tokenizers.path(bpe.TOKENIZER))
     rng = np.random.default_rng(2)
-    parts = [" ", "  ", "\n", "\t", "a", "Bc", "12", ".", "'s", "é", "\r\n", "<|endoftext|>", "　", "\x1c", "\x85", "\0"]
-    for _ in range(3000):
-        s = "".join(rng.choice(parts, rng.integers(0, 12)))
-        assert "".join(w.split(s)) == s
-        assert [i for x in w.encode(w.split(s)) for i in x] == w.tokenizer.encode(s, add_special_tokens=False).ids, s
+    spaces = re.findall(f"[{bpe.SPACE}]", "".join(map(chr, range(0x3001))))
+    parts = [*spaces, *" \n" * 8, "a", "Bc", "12", ".", "'s", "é", "名", "<|endoftext|>", "\x1c", "\0"] + ["word", " the"] * 6
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(50_000)] + ["line one\n\xa0\xa0line two", "a\n\xa0\tb"]
+    split = [w.split(s) for s in texts]
+    assert len(spaces) == 25 and ["".join(x) for x in split] == texts
+    ids = iter(w.encode([u for x in split for u in x]))
+    for s, x, whole in zip(texts, split, w.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert [i for _ in x for i in next(ids)] == whole.ids, s
 
 
 # decontamination

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import tempfile
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,12 +24,17 @@ def fold(doc_id: str | Column, of: int) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; one is made only where the session names none."""
+    """The session's checkpoint folder, which all executors share.
+
+    Where the session names none, a temporary one is made if driver and executors are one process; on a cluster that
+    is an error, as its machines would not see each other's files.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -59,7 +65,7 @@ def sha256(data: bytes) -> str:
 
 
 def offsets(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(lengths)])
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -1,35 +1,44 @@
 """BPE encoding and decoding by a table of distinct words.
 
 Texts are cut where white space ends one word and begins the next: the tokenizer never merges across such a cut, so a
-text's ids are its words' ids in order. Words are counted over all texts; each word that occurs more than once is
-encoded once, and its ids are looked up at every position. A word that occurs once has a single position and is
-encoded there. Decoding looks up each id's piece.
+text's ids are its words' ids in order. A task turns its texts into blocks: the block's distinct words, most frequent
+first, and for each text the positions of its words in that list. Distinct words are dealt by hash to the shares of the
+word table, where each is encoded once; the ids come back to (block, place in the list) and are joined to the texts by
+position. Only distinct words and packed positions are shuffled, so a very common word costs one entry a block. Decoding
+joins ids with the table of pieces.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+import uuid
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count, pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, offsets, ragged, read, rows, sha256
+from ._common import checkpoint_dir, offsets, ragged, read, rows, sha256
 
 TOKENIZER = "byte_bpe_50k.json"
-TABLE_WORDS = 3_000_000
-HELD_WORDS = 250_000
+BLOCK_WORDS = 4_000_000
+BLOCK_CHARS = 32_000_000
+GROUP_WORDS = 500_000
 
 # Unicode white space, as the tokenizer's pattern has it.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACE = "\t\n\v\f\r " + "".join(WIDE)
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-DOUBLES = ("  ", "\n\n", " \n", "\n ", "\0")
+# What a text that is cut at each space and line feed must not hold, WIDE apart: runs of white space, or other white space.
+RUNS = ("  ", "\n\n", " \n", "\n ", "\0", "\t", "\v", "\f", "\r")
 
 
 def units(text: str) -> list[str]:
@@ -37,11 +46,9 @@ def units(text: str) -> list[str]:
 
     A single space belongs to the word that it precedes, other white space before a word to itself.
     """
-    if not any(x in text for x in DOUBLES):
-        found = list(filter(None, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
-        if not text[-1:].isspace() and len(found) - text.count("\n") == len(text.split()):
-            return found
-    return UNIT.findall(text)
+    if any(x in text for x in RUNS) or not text.isascii() and any(x in text for x in WIDE):
+        return UNIT.findall(text)
+    return list(filter(None, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
 
 
 def _tokenizer(path: str):
@@ -74,110 +81,166 @@ class Words:
         return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)] if words else []
 
 
-def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, compressed: all lowest bytes, then the next ones, and so on."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def word_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n) over all texts; each task sums its own words before the shuffle."""
+def unpacked(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(path), Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+def packed_words(words: list[str]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress("".join(words).encode())
 
-        for whole in batches:
-            for batch in rows(whole, 500):
-                for text in batch.column(0).to_pylist():
-                    counts.update(words.split(text))
-                if len(counts) > HELD_WORDS:
-                    yield out()
-                    counts = Counter()
-        if counts:
-            yield out()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+# kind 0: a share of the block's distinct words (later their ids); 1: the share of each word; 2: positions of some texts' words
+BLOCKS = "block long, kind int, part int, sizes binary, data binary, ids array<long>"
+NAMES = ["block", "kind", "part", "sizes", "data", "ids"]
 
 
-def word_table(docs: DataFrame, path: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, in order, offsets and ids of words that occur at least twice.
+def _row(*values) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=NAMES)
 
-    The table holds ``most`` words at the most: where there are more, those of at least 4, 8, ... occurrences. What
-    is not in it is encoded where it stands, so the bound changes no result.
-    """
-    repeated = checkpointed(word_counts(docs, path).where("n > 1"))
-    sizes = repeated.agg(*[F.count_if(F.col("n") >= 2**k).alias(str(k)) for k in range(1, 40)]).first()
-    least = next((2**k for k in range(1, 40) if sizes[k - 1] <= most), 2**40)
+
+def _cut(path: str, shares: int, block_words: int):
+    """Batches of (id, text) to blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        split, task, numbers = Words(path).split, TaskContext.get().partitionId(), count()
+
+        def block(code: dict[str, int], ids: list, codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            at = (task << 32) + next(numbers)
+            listed = list(code)
+            times = np.bincount(np.concatenate(codes), minlength=len(listed))
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            listed = [listed[i] for i in order.tolist()]
+            share = np.fromiter((zlib.crc32(w.encode()) % shares for w in listed), np.int64, len(listed))
+            by = np.argsort(share, kind="stable")
+            for mine in np.split(by, np.flatnonzero(np.diff(share[by])) + 1) if len(by) else ():
+                own = [listed[i] for i in mine.tolist()]
+                yield _row(at, 0, share[mine[0]], packed(np.fromiter(map(len, own), np.int64, len(own))), packed_words(own), None)
+            yield _row(at, 1, 0, None, packed(share), None)
+            ends = np.cumsum([len(c) for c in codes])
+            for part, texts in enumerate(np.split(np.arange(len(codes)), np.flatnonzero(np.diff(ends // GROUP_WORDS + np.arange(len(ends)) // 500)) + 1)):
+                a, b = int(texts[0]), int(texts[-1]) + 1
+                yield _row(at, 2, part, packed(np.array([len(c) for c in codes[a:b]], np.int64)), packed(rank[np.concatenate(codes[a:b])]), ids[a:b])
+
+        code, ids, codes, words, chars = defaultdict(count().__next__), [], [], 0, 0
         for whole in batches:
-            for batch in rows(whole, 5000):
-                ids = [np.array(x, "<u4").tobytes() for x in words.encode(batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
-
-    got = repeated.where(F.col("n") >= least).select(F.xxhash64("word").alias("h"), "word").mapInArrow(run, "h long, ids binary").toArrow()
-    h, ids = got.column("h").to_numpy(), got.column("ids").combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) if len(ids) else np.zeros(1, np.int64)
-    flat = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[: bounds[-1]].view("<u4") if len(ids) else np.empty(0, "<u4")
-    bounds //= 4
-    order = np.argsort(h, kind="stable")
-    sizes = np.diff(bounds)[order]
-    h = h[order]
-    clash = np.isin(h, h[1:][h[1:] == h[:-1]])  # words that share a hash are encoded where they stand
-    sizes, starts, h = sizes[~clash], bounds[:-1][order][~clash], h[~clash]
-    kind = np.uint16 if len(flat) == 0 or flat.max() < 1 << 16 else np.uint32
-    return h, offsets(sizes).astype(np.uint32), flat[ragged(starts, sizes)].astype(kind)
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
-    """(id, n_tokens, ids): each whole text's token ids as little-endian unsigned 32-bit integers, in order.
+            for batch in rows(whole, 500):
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    text = text.as_py()
+                    ws = split(text)
+                    ids.append(i)
+                    codes.append(np.fromiter(map(code.__getitem__, ws), np.uint32, len(ws)))
+                    words, chars = words + len(ws), chars + len(text or "")
+                    if words >= block_words or chars >= BLOCK_CHARS:
+                        yield from block(code, ids, codes)
+                        code, ids, codes, words, chars = defaultdict(count().__next__), [], [], 0, 0
+        if ids:
+            yield from block(code, ids, codes)
 
-    Null and empty texts have no ids. Repeated rows give repeated rows, null ids stay null, an empty table gives no
-    rows and other columns are not read. ``path``: a byte-level BPE file of the tokenizers library.
-    """
-    d = _text(docs, id_col, text_col)
-    return d.mapInArrow(encoder(d, path or public_tokenizers.path(TOKENIZER), table_words), "id long, n_tokens long, ids binary")
+    return run
 
 
-def encoder(d: DataFrame, path: str, table_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (id, text) to batches of (id, n_tokens, ids), by the word table of ``d``."""
-    held = d.sparkSession.sparkContext.broadcast(word_table(d, path, table_words))
+class Ids:
+    """The ids of words, one after the other, in arrays that grow by doubling."""
+
+    def __init__(self) -> None:
+        self.flat, self.starts, self.sizes, self.n, self.used = np.empty(1024, np.uint32), np.empty(1024, np.int64), np.empty(1024, np.uint32), 0, 0
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+    def add(self, found: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total, n = int(sizes.sum()), self.n + len(found)
+        self.flat, self.starts, self.sizes = self._room(self.flat, self.used + total), self._room(self.starts, n), self._room(self.sizes, n)
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.starts[self.n : n], self.sizes[self.n : n] = self.used + offsets(sizes)[:-1], sizes
+        self.n, self.used = n, self.used + total
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[codes].astype(np.int64)
+        return sizes, self.flat[ragged(self.starts[codes], sizes)]
+
+
+def _share(path: str):
+    """A share of the word table: every distinct word is encoded when it first turns up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (known, bounds, flat) = Words(path), held.value
-        digest = xxhash.xxh64_intdigest
-        for whole in batches:
-            for batch in rows(whole, 500):
-                split = [words.split(t) for t in batch.column(1).to_pylist()]
-                code: dict[str, int] = {}
-                for ws in split:
-                    code.update(dict.fromkeys(ws))
-                distinct = list(code)
-                code = dict(zip(distinct, range(len(distinct)), strict=True))
-                h = np.fromiter((digest(w.encode(), 42) for w in distinct), np.uint64, len(distinct)).view(np.int64)
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-                here = words.encode([distinct[i] for i in np.flatnonzero(~hit).tolist()])
-                # ids of this batch's distinct words, first those of the table
-                sizes, starts = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-                sizes[hit], starts[hit] = bounds[at[hit] + 1] - bounds[at[hit]], bounds[at[hit]]
-                from_table = flat[ragged(starts[hit], sizes[hit])].astype("<u4")
-                sizes[~hit] = np.fromiter(map(len, here), np.int64, len(here))
-                starts[hit] = offsets(sizes[hit])[:-1]
-                starts[~hit] = len(from_table) + offsets(sizes[~hit])[:-1]
-                local = np.concatenate([from_table, np.fromiter((i for x in here for i in x), "<u4", int(sizes[~hit].sum()))])
-                ids = []
-                for ws in split:
-                    c = np.fromiter(map(code.__getitem__, ws), np.int64, len(ws))
-                    ids.append(local[ragged(starts[c], sizes[c])].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
+        words, code, ids = Words(path), {}, Ids()
+        for batch in batches:
+            for block, part, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "sizes", "data")), strict=True):
+                text = zstandard.ZstdDecompressor().decompress(data).decode()
+                own = [text[a:b] for a, b in pairwise(offsets(unpacked(sizes)).tolist())]
+                new = [w for w in own if w not in code]
+                code.update(zip(new, range(len(code), len(code) + len(new)), strict=True))
+                ids.add(words.encode(new))
+                n, flat = ids.of(np.fromiter(map(code.__getitem__, own), np.int64, len(own)))
+                yield _row(block, 0, part, packed(n), packed(flat), None)
 
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole blocks, in order of (block, kind, part), to (id, n_tokens, ids) by position."""
+    sizes, flat = [], []
+    starts = n = table = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, kind, _, s, data, ids = (batch.column(c)[i].as_py() for c in NAMES)
+            if kind == 0:
+                if starts is not None:
+                    sizes, flat, starts = [], [], None
+                sizes.append(unpacked(s))
+                flat.append(unpacked(data))
+            elif kind == 1:
+                place = np.argsort(unpacked(data), kind="stable")  # shares keep the order of the block's list
+                got = np.concatenate([*sizes, np.empty(0, "<u4")]).astype(np.int64)
+                n, starts, table = np.empty_like(got), np.empty_like(got), np.concatenate([*flat, np.empty(0, "<u4")])
+                n[place], starts[place] = got, offsets(got)[:-1]
+                sizes, flat = [], []
+            else:
+                codes, ends = unpacked(data), offsets(unpacked(s).astype(np.int64))
+                all_ids = table[ragged(starts[codes], n[codes])]
+                cut = offsets(n[codes])[ends]
+                texts = [all_ids[a:b].tobytes() for a, b in pairwise(cut.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cut)), pa.array(texts, pa.binary())], names=ENCODED_NAMES)
+
+
+ENCODED, ENCODED_NAMES = "id long, n_tokens long, ids binary", ["id", "n_tokens", "ids"]
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, path: str, shares: int | None, block_words: int) -> DataFrame:
+    """Whole blocks, each in one partition and in order, with the ids of their distinct words."""
+    spark = docs.sparkSession
+    shares = shares or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    at = f"{checkpoint_dir(spark)}/words-{uuid.uuid4().hex}"
+    d.mapInArrow(_cut(path, shares, block_words), BLOCKS).write.partitionBy("kind").option("compression", "uncompressed").parquet(at)
+    cut = spark.read.schema(BLOCKS).parquet(at).select(*NAMES)
+    table = cut.where("kind = 0").repartitionById(shares, F.col("part")).mapInArrow(_share(path), BLOCKS)
+    return table.unionByName(cut.where("kind > 0")).repartition("block").sortWithinPartitions("block", "kind", "part")
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shares: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(id, n_tokens, ids): each whole text's token ids as little-endian unsigned 32-bit integers, in order.
+
+    Null and empty texts have no ids. Repeated rows give repeated rows, null ids stay null, an empty table gives no
+    rows and other columns are not read. ``path``: a byte-level BPE file of the tokenizers library. The cut texts are
+    written to the session's checkpoint folder; ``shares`` is the number of tasks that hold the word table between them
+    (as many as shuffle partitions, 32 at least).
+    """
+    return _blocks(docs, id_col, text_col, path or public_tokenizers.path(TOKENIZER), shares, block_words).mapInArrow(_joined, ENCODED)
+
+
 def pieces(path: str) -> list[bytes]:
     """Each id's bytes. A byte-level vocabulary spells each byte as a printable character: itself, or 256 and up."""
     t = _tokenizer(path)
@@ -191,47 +254,85 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def decoder(spark: SparkSession, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (id, n_tokens, ids) to the same with the text; the id-to-piece table has the vocabulary's size."""
-    held = spark.sparkContext.broadcast(pieces(path))
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(piece_id, piece), one row for each id of the vocabulary."""
+    return spark.createDataFrame(pa.table({"piece_id": pa.array(range(len(p := pieces(path))), pa.int64()), "piece": pa.array(p, pa.binary())}))
+
+
+ASKED, ASKED_NAMES = "piece_id long, " + ENCODED, ["piece_id", *ENCODED_NAMES]
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Before each batch of (id, n_tokens, ids) a row for each distinct id in it, for the join with the pieces."""
+    for whole in batches:
+        for batch in rows(whole, 500):
+            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4")
+            ask = np.unique(flat).astype(np.int64)
+            if len(ask):
+                yield pa.RecordBatch.from_arrays([pa.array(ask), *(pa.nulls(len(ask), f.type) for f in batch.schema)], names=ASKED_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), *batch.columns], names=ASKED_NAMES)
+
+
+def _spelt(digest: bool):
+    """Joined rows, in order, to (id, n_tokens, ids, text), or to the hashes of the last two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = held.value.__getitem__
-        for whole in batches:
-            for batch in rows(whole, 500):
-                texts = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["id", "n_tokens", "ids", "text"])
+        piece, fresh = {}, True
+        for batch in batches:
+            asked = batch.column("piece_id").is_valid().to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(asked)) + 1).tolist(), batch.num_rows]
+            for a, b in pairwise(edges):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if asked[a]:
+                    if not fresh:
+                        piece, fresh = {}, True
+                    piece.update(zip(part.column("piece_id").to_pylist(), part.column("piece").to_pylist(), strict=True))
+                    continue
+                fresh = False
+                kept = [part.column("id"), part.column("n_tokens")]
+                ids = part.column("ids").to_pylist()
+                texts = [b"".join(map(piece.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in ids]
+                if digest:
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array([sha256(x) for x in ids], pa.string()), pa.array([sha256(x.encode()) for x in texts], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*kept, part.column("ids"), pa.array(texts, pa.string())], names=[*ENCODED_NAMES, "text"])
 
     return run
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``encoded`` (id, n_tokens, ids) with the text of the ids, special tokens included."""
-    run = decoder(encoded.sparkSession, path or public_tokenizers.path(TOKENIZER))
-    return encoded.select("id", "n_tokens", "ids").mapInArrow(run, "id long, n_tokens long, ids binary, text string")
+def _with_pieces(asked: DataFrame, path: str) -> DataFrame:
+    """A join that keeps the order of rows: its other side has the vocabulary's size and is broadcast."""
+    return asked.join(F.broadcast(piece_table(asked.sparkSession, path)), "piece_id", "left")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
-    """doc_id, n_tokens and the hashes of the ids and of the text that they decode to.
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``encoded`` (id, n_tokens, ids) with the text of the ids, special tokens included.
 
-    Encoding, decoding and hashing follow each other in one Python worker, so ids and texts are not sent back.
+    The distinct ids of each batch of rows are joined with the table of pieces. Bytes that are no UTF-8 are replaced
+    as the library does; no ids give an empty text; null ids of rows stay null and repeated rows repeat.
     """
     path = path or public_tokenizers.path(TOKENIZER)
-    d = _text(docs, id_col, text_col)
-    encoded, decoded = encoder(d, path, table_words), decoder(d.sparkSession, path)
+    return _with_pieces(encoded.select(*ENCODED_NAMES).mapInArrow(_asked, ASKED), path).mapInArrow(_spelt(False), ENCODED + ", text string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in decoded(encoded(batches)):
-            hashes = [pa.array([sha256(x) for x in batch.column(c).cast(pa.binary()).to_pylist()], pa.string()) for c in (2, 3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *hashes], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shares: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_tokens and the hashes of ``encode``'s ids and of the text that ``decode`` makes of them.
+
+    Odd rows as in ``encode``; the hashes of a null or empty text are those of no bytes.
+    """
+    path = path or public_tokenizers.path(TOKENIZER)
+    blocks = _blocks(docs, id_col, text_col, path, shares, block_words)
+    asked = blocks.mapInArrow(lambda batches: _asked(_joined(batches)), ASKED)
+    return _with_pieces(asked, path).mapInArrow(_spelt(True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text of ``documents``, one row a document; odd rows as in ``digests``."""
     return digests(read(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: token counts and digests of every document that is left."""
+    """The last stage: token counts and digests of every document that is left; odd rows as in ``digests``."""
     return digests(docs)
