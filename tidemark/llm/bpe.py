@@ -15,7 +15,7 @@ import re
 import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count, pairwise
 
 import numpy as np
@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 from ._common import checkpoint_dir, offsets, ragged, read, rows, sha256
 
 TOKENIZER = "byte_bpe_50k.json"
-BLOCK_WORDS = 4_000_000
-BLOCK_CHARS = 32_000_000
+BLOCK_WORDS = 2_000_000
+BLOCK_CHARS = 16_000_000
 GROUP_WORDS = 500_000
+LEVEL = 6
+SHARE_BYTES = 1 << 24
+MOST_SHARES = 8192
 
 # Unicode white space, as the tokenizer's pattern has it.
 WIDE = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -83,7 +86,7 @@ class Words:
 
 def packed(x: np.ndarray) -> bytes:
     """Unsigned 32-bit integers, compressed: all lowest bytes, then the next ones, and so on."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpacked(x: bytes) -> np.ndarray:
@@ -92,10 +95,10 @@ def unpacked(x: bytes) -> np.ndarray:
 
 
 def packed_words(words: list[str]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress("".join(words).encode())
+    return zstandard.ZstdCompressor(level=LEVEL).compress("".join(words).encode())
 
 
-# kind 0: a share of the block's distinct words (later their ids); 1: the share of each word; 2: positions of some texts' words
+# kind 0: a share of the block's distinct words; 1: the share of each word; 2: positions of some texts' words
 BLOCKS = "block long, kind int, part int, sizes binary, data binary, ids array<long>"
 NAMES = ["block", "kind", "part", "sizes", "data", "ids"]
 
@@ -113,11 +116,15 @@ def _cut(path: str, shares: int, block_words: int):
 
         def block(code: dict[str, int], ids: list, codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             at = (task << 32) + next(numbers)
-            listed = list(code)
-            times = np.bincount(np.concatenate(codes), minlength=len(listed))
-            order = np.argsort(-times, kind="stable")
+            listed = sorted(code)  # equally frequent words go by spelling, which packs well
+            first = np.fromiter(map(code.__getitem__, listed), np.int64, len(listed))
+            code.clear()
+            ends, flat = offsets([len(c) for c in codes]), np.concatenate(codes)
+            codes.clear()
+            order = np.argsort(-np.bincount(flat, minlength=len(listed))[first], kind="stable")
             rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
+            rank[first[order]] = np.arange(len(order), dtype=np.uint32)
+            flat = rank[flat]
             listed = [listed[i] for i in order.tolist()]
             share = np.fromiter((zlib.crc32(w.encode()) % shares for w in listed), np.int64, len(listed))
             by = np.argsort(share, kind="stable")
@@ -125,10 +132,10 @@ def _cut(path: str, shares: int, block_words: int):
                 own = [listed[i] for i in mine.tolist()]
                 yield _row(at, 0, share[mine[0]], packed(np.fromiter(map(len, own), np.int64, len(own))), packed_words(own), None)
             yield _row(at, 1, 0, None, packed(share), None)
-            ends = np.cumsum([len(c) for c in codes])
-            for part, texts in enumerate(np.split(np.arange(len(codes)), np.flatnonzero(np.diff(ends // GROUP_WORDS + np.arange(len(ends)) // 500)) + 1)):
+            group = ends[1:] // GROUP_WORDS + np.arange(len(ids)) // 2000
+            for part, texts in enumerate(np.split(np.arange(len(ids)), np.flatnonzero(np.diff(group)) + 1)):
                 a, b = int(texts[0]), int(texts[-1]) + 1
-                yield _row(at, 2, part, packed(np.array([len(c) for c in codes[a:b]], np.int64)), packed(rank[np.concatenate(codes[a:b])]), ids[a:b])
+                yield _row(at, 2, part, packed(np.diff(ends[a : b + 1])), packed(flat[ends[a] : ends[b]]), ids[a:b])
 
         code, ids, codes, words, chars = defaultdict(count().__next__), [], [], 0, 0
         for whole in batches:
@@ -184,50 +191,50 @@ def _share(path: str):
                 code.update(zip(new, range(len(code), len(code) + len(new)), strict=True))
                 ids.add(words.encode(new))
                 n, flat = ids.of(np.fromiter(map(code.__getitem__, own), np.int64, len(own)))
-                yield _row(block, 0, part, packed(n), packed(flat), None)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([packed(n)], pa.binary()), pa.array([packed(flat)], pa.binary())], names=["block", "part", "sizes", "data"])
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole blocks, in order of (block, kind, part), to (id, n_tokens, ids) by position."""
-    sizes, flat = [], []
-    starts = n = table = None
-    for batch in batches:
-        for i in range(batch.num_rows):
-            _, kind, _, s, data, ids = (batch.column(c)[i].as_py() for c in NAMES)
-            if kind == 0:
-                if starts is not None:
-                    sizes, flat, starts = [], [], None
-                sizes.append(unpacked(s))
-                flat.append(unpacked(data))
-            elif kind == 1:
-                place = np.argsort(unpacked(data), kind="stable")  # shares keep the order of the block's list
-                got = np.concatenate([*sizes, np.empty(0, "<u4")]).astype(np.int64)
-                n, starts, table = np.empty_like(got), np.empty_like(got), np.concatenate([*flat, np.empty(0, "<u4")])
-                n[place], starts[place] = got, offsets(got)[:-1]
-                sizes, flat = [], []
-            else:
-                codes, ends = unpacked(data), offsets(unpacked(s).astype(np.int64))
-                all_ids = table[ragged(starts[codes], n[codes])]
-                cut = offsets(n[codes])[ends]
-                texts = [all_ids[a:b].tobytes() for a, b in pairwise(cut.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cut)), pa.array(texts, pa.binary())], names=ENCODED_NAMES)
+def _joined(texts: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One block: its texts' positions and its distinct words' ids to (id, n_tokens, ids)."""
+    words, texts = words.sort_by("part").to_pylist(), texts.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist()
+    table = np.concatenate([*(unpacked(w["data"]) for w in words), np.empty(0, "<u4")])
+    got = np.concatenate([*(unpacked(w["sizes"]) for w in words), np.empty(0, "<u4")]).astype(np.int64)
+    place = np.argsort(unpacked(texts[0]["data"]), kind="stable")  # shares keep the order of the block's list
+    n, starts = np.empty_like(got), np.empty_like(got)
+    n[place], starts[place] = got, offsets(got)[:-1]
+    for row in texts[1:]:
+        codes, ends = unpacked(row["data"]), offsets(unpacked(row["sizes"]))
+        ids = table[ragged(starts[codes], n[codes])]
+        cut = offsets(n[codes])[ends]
+        yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(np.diff(cut)), pa.array([ids[a:b].tobytes() for a, b in pairwise(cut.tolist())], pa.binary())], names=ENCODED_NAMES)
 
 
 ENCODED, ENCODED_NAMES = "id long, n_tokens long, ids binary", ["id", "n_tokens", "ids"]
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, path: str, shares: int | None, block_words: int) -> DataFrame:
-    """Whole blocks, each in one partition and in order, with the ids of their distinct words."""
+def _encoded(docs: DataFrame, id_col: str, text_col: str, path: str, shares: int | None, block_words: int, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Texts cut to blocks, distinct words encoded, and both joined by block; ``then`` is applied to a block's result.
+
+    The blocks lie in bucketed files of the checkpoint folder, so that the positions, the larger part, are joined where
+    they lie and only the words' ids are shuffled.
+    """
     spark = docs.sparkSession
-    shares = shares or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    at = f"{checkpoint_dir(spark)}/words-{uuid.uuid4().hex}"
-    d.mapInArrow(_cut(path, shares, block_words), BLOCKS).write.partitionBy("kind").option("compression", "uncompressed").parquet(at)
-    cut = spark.read.schema(BLOCKS).parquet(at).select(*NAMES)
-    table = cut.where("kind = 0").repartitionById(shares, F.col("part")).mapInArrow(_share(path), BLOCKS)
-    return table.unionByName(cut.where("kind > 0")).repartition("block").sortWithinPartitions("block", "kind", "part")
+    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # beyond 2^60: not known
+    shares = shares or max(32, min(MOST_SHARES, size // SHARE_BYTES) if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"words_{uuid.uuid4().hex}"
+    d.mapInArrow(_cut(path, shares, block_words), BLOCKS).write.bucketBy(shares, "block").option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    cut = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay
+    words = cut.where("kind = 0").select("block", "part", "sizes", "data").repartitionById(shares, F.col("part")).mapInArrow(_share(path), "block long, part int, sizes binary, data binary")
+    texts = cut.where("kind > 0")
+
+    def join(texts: pa.Table, words: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(then(_joined(texts, words)))
+
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, schema)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shares: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -236,9 +243,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     Null and empty texts have no ids. Repeated rows give repeated rows, null ids stay null, an empty table gives no
     rows and other columns are not read. ``path``: a byte-level BPE file of the tokenizers library. The cut texts are
     written to the session's checkpoint folder; ``shares`` is the number of tasks that hold the word table between them
-    (as many as shuffle partitions, 32 at least).
+    (one for 16 MB of input as Spark estimates it, or as many as shuffle partitions; 32 at least); any number gives the same rows.
     """
-    return _blocks(docs, id_col, text_col, path or public_tokenizers.path(TOKENIZER), shares, block_words).mapInArrow(_joined, ENCODED)
+    return _encoded(docs, id_col, text_col, path or public_tokenizers.path(TOKENIZER), shares, block_words, lambda batches: batches, ENCODED)
 
 
 def pieces(path: str) -> list[bytes]:
@@ -265,7 +272,7 @@ ASKED, ASKED_NAMES = "piece_id long, " + ENCODED, ["piece_id", *ENCODED_NAMES]
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Before each batch of (id, n_tokens, ids) a row for each distinct id in it, for the join with the pieces."""
     for whole in batches:
-        for batch in rows(whole, 500):
+        for batch in rows(whole, 2000):
             flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4")
             ask = np.unique(flat).astype(np.int64)
             if len(ask):
@@ -323,8 +330,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     Odd rows as in ``encode``; the hashes of a null or empty text are those of no bytes.
     """
     path = path or public_tokenizers.path(TOKENIZER)
-    blocks = _blocks(docs, id_col, text_col, path, shares, block_words)
-    asked = blocks.mapInArrow(lambda batches: _asked(_joined(batches)), ASKED)
+    asked = _encoded(docs, id_col, text_col, path, shares, block_words, _asked, ASKED)
     return _with_pieces(asked, path).mapInArrow(_spelt(True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
