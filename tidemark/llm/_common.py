@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import math
 import tempfile
@@ -44,6 +46,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task and would hold it idle."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def rows(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, so that working arrays stay small."""
     for at in range(0, batch.num_rows, size):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpoint_dir, offsets, ragged, read, rows, sha256
+from ._common import checkpoint_dir, offsets, ragged, read, release, rows, sha256
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK_WORDS = 2_000_000
@@ -149,8 +149,11 @@ def _cut(path: str, shares: int, block_words: int):
                     if words >= block_words or chars >= BLOCK_CHARS:
                         yield from block(code, ids, codes)
                         code, ids, codes, words, chars = defaultdict(count().__next__), [], [], 0, 0
+                        release()
         if ids:
             yield from block(code, ids, codes)
+        del batches, code, ids, codes
+        release()
 
     return run
 
@@ -201,6 +204,7 @@ def _joined(texts: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
     words, texts = words.sort_by("part").to_pylist(), texts.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist()
     table = np.concatenate([*(unpacked(w["data"]) for w in words), np.empty(0, "<u4")])
     got = np.concatenate([*(unpacked(w["sizes"]) for w in words), np.empty(0, "<u4")]).astype(np.int64)
+    ids = codes = None
     place = np.argsort(unpacked(texts[0]["data"]), kind="stable")  # shares keep the order of the block's list
     n, starts = np.empty_like(got), np.empty_like(got)
     n[place], starts[place] = got, offsets(got)[:-1]
@@ -209,6 +213,8 @@ def _joined(texts: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = table[ragged(starts[codes], n[codes])]
         cut = offsets(n[codes])[ends]
         yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(np.diff(cut)), pa.array([ids[a:b].tobytes() for a, b in pairwise(cut.tolist())], pa.binary())], names=ENCODED_NAMES)
+    del table, ids, codes
+    release()
 
 
 ENCODED, ENCODED_NAMES = "id long, n_tokens long, ids binary", ["id", "n_tokens", "ids"]
