@@ -325,6 +325,13 @@ def test_dense_groups_lose_no_link(spark, sizes):
 # licences
 
 
+def test_pairs_of_chunks_are_tasks_of_their_own(spark):
+    parts = spark.createDataFrame([(0, 5, i, bytes([i])) for i in range(12)], "t int, key long, i int, fps binary")
+    got = simhash.chunk_pairs(parts).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.i, r.j) for r in got} == {(i, j) for j in range(12) for i in range(j + 1)} and len(got) == 78
+    assert max(Counter(r.task for r in got).values()) < 40 and len({r.task for r in got}) == 4
+
+
 def test_licences_by_brute_force(spark, docs, none):
     texts = list(licenses.TEMPLATES.values())
     rows = [(i, f"some words first\n{t.upper()}\nand more") for i, t in enumerate(texts)]

@@ -29,14 +29,22 @@ def test_each_decision_takes_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bad = {r.doc_id for r in toxicity.op5_toxicity(spark, sf).where("predicted = 1").collect()}
     assert {r.doc_id for r in toxicity.stage(spark, docs, sf).collect()} == {r.doc_id for r in docs.collect()} - bad
-    first = {r.component_id for r in simhash.op8_simhash(spark, sf).collect()}
-    assert sorted(r.doc_id for r in simhash.stage(spark, docs, sf).collect()) == sorted(first)
+    first = {r.component_id for r in simhash.near_copies(docs).collect()}
+    assert sorted(r.doc_id for r in simhash.copies_stage(spark, docs, sf).collect()) == sorted(first)
     leaked = {r.doc_id for r in decontaminate.op3_decontaminate(spark, sf).collect()}
     assert {r.doc_id for r in decontaminate.stage(spark, docs, sf).collect()} == {r.doc_id for r in docs.collect()} - leaked
     masked = secrets.stage(spark, docs, sf)
     assert masked.count() == docs.count() and secrets.scan(masked).agg({"n_spans": "sum"}).first()[0] == 0
 
 
+def test_rows_that_share_an_id_are_decided_on_each_by_itself(spark, sf):
+    a, b, c = ("one two three four five six", "another text altogether here", "a third text that stands alone")
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (0, b, "y"), (2, c, "y"), (2, a, "z"), (None, c, "z"), (None, "no id at all", "z"), (None, "no id at all", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    want = [(1, a, "x"), (0, b, "y"), (2, c, "y"), (None, "no id at all", "z")]
+    assert sorted(map(tuple, simhash.copies_stage(spark, docs, sf).collect()), key=str) == sorted(want, key=str)
+
+
 def test_stages_take_odd_rows(spark, sf):
     rows = [(1, None, "en", "s", None), (1, None, "en", "s", None), (None, "text without id", None, None, 3), (2, "", "en", "s", 0), (3, "twin words here now", "en", "s", 5), (4, "twin words here now", "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

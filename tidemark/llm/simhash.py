@@ -9,12 +9,13 @@ out as tasks of their own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, masks, read, rows, signed, text_bytes, words
@@ -172,9 +173,14 @@ def links(distinct_fps: DataFrame, bits: int = 3, width: int = 64, solve: int =
     found = checkpointed(filed.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(_files(bits, solve, chunk), SCHEMA))
     near = found.where(F.col("a").isNotNull()).select("a", "b")
     parts = found.where(F.col("fps").isNotNull()).select("t", "key", "i", "fps")
-    x, y = parts.withColumnRenamed("fps", "x").alias("x"), parts.select("t", "key", F.col("i").alias("j"), F.col("fps").alias("y"))
-    pairs = x.join(y, ["t", "key"]).where("i <= j").select("x", "y").mapInArrow(_chunk_pairs(bits), "a long, b long")
-    return near.unionByName(pairs).distinct()
+    return near.unionByName(chunk_pairs(parts).select("x", "y").mapInArrow(_chunk_pairs(bits), "a long, b long")).distinct()
+
+
+def chunk_pairs(parts: DataFrame) -> DataFrame:
+    """Each pair of chunks (t, key, i, fps) of a file, a chunk with itself included, spread over tasks pair by pair."""
+    x, y = parts.withColumnRenamed("fps", "x"), parts.select("t", "key", F.col("i").alias("j"), F.col("fps").alias("y"))
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.join(y, ["t", "key"]).where("i <= j").repartition(tasks, "t", "key", "i", "j")
 
 
 def connected(edges: DataFrame, limit: int = 200) -> DataFrame:
@@ -250,7 +256,7 @@ def band_keys(x: np.ndarray, bands: int, width: int) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bands: int = 20, width: int = 3, whole_sets: bool = False) -> DataFrame:
-    """(id, cls, n, keys) for each row: ``cls`` tells sets of shingles apart, ``n`` is a set's size; or (cls, shingles)."""
+    """(id, h, cls, n, keys) for each row: ``h`` is the text's hash, ``cls`` tells sets of shingles apart, ``n`` is a set's size; or (cls, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -269,10 +275,11 @@ def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 if whole_sets:
                     yield pa.RecordBatch.from_arrays([cls, pa.array(found, pa.binary())], names=["cls", "shingles"])
                 else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), cls, pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "cls", "n", "keys"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cls, pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "h", "cls", "n", "keys"])
 
-    schema = "cls long, shingles binary" if whole_sets else "id long, cls long, n long, keys array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "cls long, shingles binary" if whole_sets else "id long, h long, cls long, n long, keys array<long>"
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, schema)
 
 
 def _similar(threshold: float):
@@ -326,6 +333,15 @@ def shingle_links(classes: DataFrame, sets: DataFrame, threshold: float = 0.8, s
     return near
 
 
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, h, root) for each row: its text's hash and its group of near copies, as ``near_copies`` has them."""
+    f = checkpointed(shingled(docs, id_col, text_col, shingle))
+    each = f.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    sets = shingled(docs, id_col, text_col, shingle, whole_sets=True)
+    roots = connected(shingle_links(each, sets, threshold)).withColumnRenamed("node", "cls")
+    return f.select("id", "h", "cls").join(roots, "cls", "left").select("id", "h", F.coalesce("root", "cls").alias("root"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: id, component_id, the smallest id reachable over pairs whose sets of shingles have a
     Jaccard similarity of ``threshold`` or more. Null and blank texts are alike; null ids as in ``near_duplicates``.
@@ -333,32 +349,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Candidates share one of 20 bands of three MinHash values: a pair at 0.8 shares none in (1 - 0.8^3)^20 = 6 of 10
     million cases, and every more similar pair in fewer.
     """
-    f = checkpointed(shingled(docs, id_col, text_col, shingle))
-    each = f.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    sets = shingled(docs, id_col, text_col, shingle, whole_sets=True)
-    roots = connected(shingle_links(each, sets, threshold)).withColumnRenamed("node", "cls")
-    firsts = f.groupBy("cls").agg(F.min("id").alias("first"))
-    classes = checkpointed(firsts.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return f.select("id", "cls").join(classes.join(least, "root").select("cls", "component_id"), "cls").select("id", "component_id")
+    g = checkpointed(copy_groups(docs, id_col, text_col, shingle, threshold))
+    return g.join(g.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text of ``documents``; odd rows as in ``near_duplicates``."""
     d = near_duplicates(read(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _firsts(docs: DataFrame, d: DataFrame) -> DataFrame:
-    keep = d.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
-
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with one row of each group of ``near_copies``: that of its smallest doc_id.
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with one row of each group of ``op8_simhash``: that of its smallest doc_id (rows without an id stay)."""
-    return _firsts(docs, near_duplicates(docs))
+    Rows without an id come after all others of their group. Rows that share an id but belong to different groups are
+    decided on each by itself; of a group's rows of that id the text of smallest hash stays, and of rows that repeat both
+    id and text one stays. Null and blank texts are one group; an empty table gives no rows.
+    """
+    g = copy_groups(docs)
+    kept = g.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")).select("k.id", "k.h").distinct()
+    i, h = f"_{uuid.uuid4().hex}", f"_{uuid.uuid4().hex}"  # no column of ``docs`` has these names
 
+    def name(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("long").cast("string"), F.lit("none")).alias(i)
 
-def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with one row of each group of ``near_copies``: that of its smallest doc_id (rows without an id stay)."""
-    return _firsts(docs, near_copies(docs))
+    marked = docs.select("*", name("doc_id"), F.xxhash64(F.col("text").cast("string")).alias(h))
+    return marked.join(kept.select(name("id"), F.col("h").alias(h)), [i, h], "left_semi").dropDuplicates([i, h]).select(docs.columns)
