@@ -31,7 +31,7 @@ from ._common import checkpoint_dir, offsets, ragged, read, release, rows, sha25
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK_WORDS = 2_000_000
 BLOCK_CHARS = 16_000_000
-GROUP_WORDS = 500_000
+GROUP_WORDS = 100_000
 LEVEL = 6
 SHARE_BYTES = 1 << 24
 MOST_SHARES = 8192

@@ -359,19 +359,28 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, send: int = 1_000_000) -> DataFrame:
     """``docs`` with one row of each group of ``near_copies``: that of its smallest doc_id.
 
     Rows without an id come after all others of their group. Rows that share an id but belong to different groups are
     decided on each by itself; of a group's rows of that id the text of smallest hash stays, and of rows that repeat both
-    id and text one stays. Null and blank texts are one group; an empty table gives no rows.
+    id and text one stays. Null and blank texts are one group; an empty table gives no rows. Up to ``send`` ids that go
+    are broadcast (a long and a number each); beyond that texts are shuffled by id, with the same result.
     """
-    g = copy_groups(docs)
-    kept = g.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")).select("k.id", "k.h").distinct()
-    i, h = f"_{uuid.uuid4().hex}", f"_{uuid.uuid4().hex}"  # no column of ``docs`` has these names
+    i, h, kept = (f"_{uuid.uuid4().hex}" for _ in range(3))  # no column of ``docs`` has these names
+    each = checkpointed(copy_groups(docs).groupBy("root", "id", "h").agg(F.count("*").alias("n")))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    ranked = each.withColumn("place", place).join(each.groupBy("root").agg(F.min(place).alias("first")), "root")
 
     def name(c: str) -> Column:
         return F.coalesce(F.col(c).cast("long").cast("string"), F.lit("none")).alias(i)
 
+    # rows to look at: all that go, and those that repeat id and text, of which one stays
+    marks = checkpointed(ranked.select(name("id"), F.col("h").alias(h), (F.col("place") == F.col("first")).alias(kept), "n").where(f"n > 1 OR NOT {kept}").drop("n"))
+    size, repeats = marks.agg(F.count("*"), F.count_if(kept)).first()
+    sent = F.broadcast if size <= send else lambda x: x
     marked = docs.select("*", name("doc_id"), F.xxhash64(F.col("text").cast("string")).alias(h))
-    return marked.join(kept.select(name("id"), F.col("h").alias(h)), [i, h], "left_semi").dropDuplicates([i, h]).select(docs.columns)
+    left = marked.join(sent(marks.select(i, h)), [i, h], "left_anti")
+    if repeats:
+        left = left.unionByName(marked.join(sent(marks.where(kept).select(i, h)), [i, h], "left_semi").dropDuplicates([i, h]))
+    return left.select(docs.columns)
