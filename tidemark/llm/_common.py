@@ -7,7 +7,8 @@ import gc
 import hashlib
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
@@ -40,10 +41,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """What runs in here sends rows to Python in batches of about ``size``, as buffers of wide rows add up."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def release() -> None:
@@ -55,6 +71,18 @@ def release() -> None:
         trim(0)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` whose workers give freed memory back when a task ends."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(released, schema)
+
+
 def rows(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, so that working arrays stay small."""
     for at in range(0, batch.num_rows, size):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpoint_dir, offsets, ragged, read, release, rows, sha256
+from ._common import checkpoint_dir, mapped, offsets, ragged, read, release, rows, sha256, small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK_WORDS = 2_000_000
@@ -231,7 +231,8 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, path: str, shares: int
     size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # beyond 2^60: not known
     shares = shares or max(32, min(MOST_SHARES, size // SHARE_BYTES) if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"words_{uuid.uuid4().hex}"
-    d.mapInArrow(_cut(path, shares, block_words), BLOCKS).write.bucketBy(shares, "block").option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    with small_batches(spark):
+        d.mapInArrow(_cut(path, shares, block_words), BLOCKS).write.bucketBy(shares, "block").option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
     cut = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay
     words = cut.where("kind = 0").select("block", "part", "sizes", "data").repartitionById(shares, F.col("part")).mapInArrow(_share(path), "block long, part int, sizes binary, data binary")
@@ -337,7 +338,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     """
     path = path or public_tokenizers.path(TOKENIZER)
     asked = _encoded(docs, id_col, text_col, path, shares, block_words, _asked, ASKED)
-    return _with_pieces(asked, path).mapInArrow(_spelt(True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(_with_pieces(asked, path), _spelt(True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read, rows
+from ._common import mapped, read, rows
 
 # Each mask lists the positions that it looks at. Together they have a seed in every window of 13 words
 # with up to three substitutions.
@@ -148,7 +148,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         doc, *rest = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in rest)], names=[x.split()[0] for x in LEAKS.split(", ")])
 
-        found = found.unionByName(d.mapInArrow(run, LEAKS))
+        found = found.unionByName(mapped(d, run, LEAKS))
     return found
 
 
@@ -168,5 +168,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     bad = {x[0] for x in held.value.overlaps([normal_words(t) for t in batch.column(at).to_pylist()])}
                     yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in bad], pa.int64()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

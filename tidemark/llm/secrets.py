@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read, rows, sha256
+from ._common import mapped, read, rows, sha256
 
 # The base patterns and the order of their kinds.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
                 arrays = [batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays[: 7 + redact], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans", "text"][: 7 + redact])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -183,5 +183,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 texts = [redacted(t, base_spans(t) + confirmed_spans(t)) if t else t for t in batch.column(at).to_pylist()]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    clean = docs.mapInArrow(run, docs.schema)
+    clean = mapped(docs, run, docs.schema)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, masks, read, rows, signed, text_bytes, words
+from ._common import checkpointed, mapped, masks, read, rows, signed, text_bytes, words
 
 SEED = 42
 PIECE = 1 << 16
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps = [signed(fingerprint(words(t), shingle)) for t in text_bytes(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long")
 
 
 def components(fps: np.ndarray, bits: int) -> np.ndarray:
@@ -279,7 +279,7 @@ def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     schema = "cls long, shingles binary" if whole_sets else "id long, h long, cls long, n long, keys array<long>"
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h")), run, schema)
 
 
 def _similar(threshold: float):
@@ -326,7 +326,7 @@ def shingle_links(classes: DataFrame, sets: DataFrame, threshold: float = 0.8, s
         pairs = pairs.where((F.col("root") != F.col("root2")) & fits).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
         pairs = checkpointed(pairs.join(done, ["a", "b"], "left_anti"))
         done = done.unionByName(pairs)
-        near = checkpointed(near.unionByName(pairs.join(x, "a").join(y, "b").mapInArrow(_similar(threshold), "a long, b long")))
+        near = checkpointed(near.unionByName(mapped(pairs.join(x, "a").join(y, "b"), _similar(threshold), "a long, b long")))
         if pick:
             roots = connected(near).withColumnRenamed("node", "cls")
             open_ = checkpointed(files.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))

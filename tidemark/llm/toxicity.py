@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, offsets, read, rows
+from ._common import fold, mapped, offsets, read, rows
 
 PUNCTUATION = string.punctuation.encode()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: Model | None, share: float = 0.0, id_col: str
                 columns = [batch.column(0), pa.array(scores, pa.float64()), *([pa.array(where, pa.string())] * spans)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "score", "spans"][: 2 + spans])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double" + ", spans string" * spans)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, score double" + ", spans string" * spans)
 
 
 THRESHOLD = 0.3
@@ -273,4 +273,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     batch = batch.filter(pa.array(s < THRESHOLD))
                 yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
