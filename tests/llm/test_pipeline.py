@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import catalogue, decontaminate, secrets, simhash, toxicity
@@ -95,5 +96,12 @@ def test_near_copies_as_by_brute_force(spark, sf):
             least[i] = least[j] = min(least[i], least[j])
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r.id: r.component_id for r in simhash.near_copies(docs).collect()} == least
+    sets = simhash.shingled(docs, whole_sets=True).dropDuplicates(["cls"])
+    one_file = simhash.shingled(docs).dropDuplicates(["cls"]).select(F.lit(0).alias("key"), "cls", "n", F.col("cls").alias("root"))
+    for sizes in ({}, {"members": 30}, {"shingles": 2000}):
+        links = {frozenset(r) for r in simhash.connected(simhash.within_files(one_file, sets, 0.8, **sizes)).collect()}
+        if not sizes:
+            want = links
+        assert links == want and len(links) > 10
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))

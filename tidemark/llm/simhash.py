@@ -296,6 +296,92 @@ def _similar(threshold: float):
     return run
 
 
+def shared_counts(sets: list[np.ndarray], dense: int = 32, width: int = 4096) -> np.ndarray:
+    """For each pair of sets how many members they share: rare members by pairs of their holders, others by products."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    held = np.diff(np.append(first, len(flat)))
+    many = np.repeat(held > dense, held)
+    out = np.zeros(m * m, np.int64)
+    e, r = flat[~many], row[~many]
+    for gap in range(1, min(dense, int(held[held <= dense].max(initial=0)))):
+        same = e[gap:] == e[:-gap]
+        out += np.bincount(r[:-gap][same] * m + r[gap:][same], minlength=m * m)
+    out = out.reshape(m, m)
+    out += out.T
+    column, r = np.repeat(np.cumsum(held > dense) - 1, held)[many], row[many]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        here = (column >= at) & (column < at + width)
+        x = np.zeros((m, width), np.float32)
+        x[r[here], column[here] - at] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
+
+
+def file_links(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links between sets of different roots, stars of each component; with ``sides`` only across them."""
+    n = np.array([len(x) for x in sets], np.int64)
+    both = shared_counts(sets)
+    near = (both >= threshold * (n[:, None] + n[None] - both) - 1e-9) & (roots[:, None] != roots[None])
+    if sides is not None:
+        near &= sides[:, None] != sides[None]
+    a, b, left = [], [], near.any(axis=1)
+    while left.any():
+        start = int(left.argmax())
+        found, front = np.zeros(len(n), bool), np.zeros(len(n), bool)
+        found[start] = front[start] = True
+        while front.any():
+            front = near[front].any(axis=0) & ~found
+            found |= front
+        left &= ~found
+        found[start] = False
+        a.append(np.flatnonzero(found))
+        b.append(np.full(int(found.sum()), start))
+    return np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
+
+
+def _compared(threshold: float):
+    """Rows sorted by (key, lo, hi) to links within each such group of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = [], None
+
+        def out() -> pa.RecordBatch:
+            cls, roots, side, sets = zip(*held, strict=True)
+            cls, split = np.array(cls, np.int64), len(set(side)) > 1 or group[1] != group[2]
+            a, b = file_links([np.frombuffer(x, np.uint64) for x in sets], np.array(roots, np.int64), np.array(side) if split else None, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], names=["a", "b"])
+
+        for batch in batches:
+            for key, lo, hi, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "cls", "root", "part", "shingles")), strict=True):
+                if (key, lo, hi) != group:
+                    if len(held) > 1:
+                        yield out()
+                    held, group = [], (key, lo, hi)
+                held.append(member)
+        if len(held) > 1:
+            yield out()
+
+    return run
+
+
+def within_files(open_: DataFrame, sets: DataFrame, threshold: float, members: int = 1024, shingles: int = 500_000) -> DataFrame:
+    """(a, b): links between classes of different roots in each file of ``open_`` (key, cls, n, root), compared pair by pair.
+
+    A file of more than ``members`` sets or ``shingles`` shingles is dealt into parts, and each pair of parts is a task's
+    work of its own, so no file is too large and none is cut short.
+    """
+    sizes = open_.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / members, F.sum("n") / shingles)).cast("int").alias("parts"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    dealt = open_.join(sizes.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "root")
+    grouped = pairs.join(sets, "cls").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return mapped(grouped, _compared(threshold), "a long, b long")
+
+
 def shingle_links(classes: DataFrame, sets: DataFrame, threshold: float = 0.8, send: int = 1_000_000) -> DataFrame:
     """(a, b), enough links between the ``classes`` (cls, n, keys) to connect pairs that share a key and are alike.
 
@@ -315,22 +401,17 @@ def shingle_links(classes: DataFrame, sets: DataFrame, threshold: float = 0.8, s
     x, y = held.toDF("a", "x"), held.toDF("b", "y")
     done = near = files.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
     open_ = files.withColumn("root", F.col("cls"))
-    for pick in (F.min, F.max, None):
-        mixed_files = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *([pick(F.struct("cls", "n", "root")).alias("p")] if pick else [])).where("lo < hi")
-        if pick:
-            pairs = open_.join(mixed_files.select("key", "p.*").toDF("key", "cls2", "n2", "root2"), "key")
-        else:
-            rest = checkpointed(open_.join(mixed_files.select("key"), "key", "left_semi"))
-            pairs = rest.join(rest.toDF(*[c if c == "key" else f"{c}2" for c in rest.columns]), "key")
+    for pick in (F.min, F.max):
+        picked = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pick(F.struct("cls", "n", "root")).alias("p")).where("lo < hi")
+        pairs = open_.join(picked.select("key", "p.*").toDF("key", "cls2", "n2", "root2"), "key")
         fits = F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-9
         pairs = pairs.where((F.col("root") != F.col("root2")) & fits).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
         pairs = checkpointed(pairs.join(done, ["a", "b"], "left_anti"))
         done = done.unionByName(pairs)
         near = checkpointed(near.unionByName(mapped(pairs.join(x, "a").join(y, "b"), _similar(threshold), "a long, b long")))
-        if pick:
-            roots = connected(near).withColumnRenamed("node", "cls")
-            open_ = checkpointed(files.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    return near
+        roots = connected(near).withColumnRenamed("node", "cls")
+        open_ = checkpointed(files.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    return near.unionByName(checkpointed(within_files(open_, held, threshold).distinct()))
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
