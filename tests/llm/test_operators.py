@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -106,6 +107,8 @@ def test_leaks_found_and_clean_texts_left(spark, docs, none):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(3000)]
     items = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate([30, 40, 16, 6, 3])]
+    short = [(20 + n, rng.choice(words, n).tolist()) for n in range(8, 13)]
+    items += [(i, " ".join(x)) for i, x in short]
     bench = spark.createDataFrame([*items, (9, None), (10, ""), items[0]], "item_id long, text string").withColumn("id", F.lit(0))
     def other(n):
         return list(rng.choice(words, n))
@@ -118,6 +121,12 @@ def test_leaks_found_and_clean_texts_left(spark, docs, none):
         if d % 5 < 4:
             want.add((d, d % 5))
         rows.append((1000 + d, " ".join(other(300))))
+    for i, x in short:
+        for k in range(len(x)):
+            rows.append((100 * i + k, " ".join([*other(9), *x[:k], "changed", *x[k + 1 :], *other(9)])))
+            rows.append((5000 + 100 * i + k, " ".join([*other(9), *x[:k], "changed", *x[k + 1 : -1], "too", *other(9)])))
+            want.add((100 * i + k, i))
+        want.add((5000 + 100 * i + len(x) - 1, i))
     df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
     for part in (decontaminate.BENCH_WORDS, 20):
         assert set(table(decontaminate.leaks(df, bench, part_words=part), "doc_id", "item_id")) == want
@@ -389,6 +398,21 @@ def test_secrets_after_equals_signs_and_escaped_breaks():
         assert secrets.confirmed_spans(f'{{"private_key": "{pem}{broken}"}}') == [("pem", 17, 17 + len(pem))]
 
 
+def test_spans_against_a_plain_scan_and_in_linear_time():
+    rng = np.random.default_rng(8)
+    parts = ["password", "Api_Key", "token", "secret", "passwd", " ", "  ", ":", "=", '"', "'", "AKIA", "A1B2C3D4E5F6G7H8", "a1b2c3d4e5f6", "0123456789abcdef", "é", "\n", "x/+.-_9Z", "API-KEY"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts, rng.integers(0, 25)))
+        want = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 6]
+        want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+        want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+        assert sorted(secrets.base_spans(text)) == sorted(want), text
+    token = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256", "typ": "JWT"}, {"sub": "1234567890", "name": "someone"})) + "." + "s" * 43
+    began = time.process_time()
+    assert len(secrets.confirmed_spans(" ".join([token] * 20_000))) == 20_000
+    assert time.process_time() - began < 5
+
+
 def test_broken_lengths_are_not_keys():
     key = der(b"\x02\x01\x00", *[b"\x02\x20" + bytes(range(1, 33))] * 5)
     assert secrets.is_der_key(key) and not secrets.is_der_key(key[:-1]) and not secrets.is_der_key(key + b"x")

@@ -23,9 +23,11 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 4, 5))
 WINDOW = 13
 MATCH = 0.75
 LEAST_WORDS = 5
+LOOSE_WORDS = 8
 BENCH_WORDS = 500_000
 
 PUNCTUATION = string.punctuation.encode()
+SPAN = max(m[-1] for m in MASKS) + 1
 MULTIPLY = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(WINDOW)], np.uint64)
 
 
@@ -50,6 +52,21 @@ def seeds(codes: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndar
     return at, h
 
 
+def masks_for(lengths: set[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(length, mask) for items of these lengths, ``SPAN`` standing for that many words and more.
+
+    Items of ``LOOSE_WORDS`` to ``SPAN`` - 1 words have a mask that leaves out each position in turn, shorter ones are
+    looked at in full.
+    """
+    for n in sorted({min(x, SPAN) for x in lengths}):
+        if n == SPAN:
+            yield from ((n, m) for m in MASKS)
+        elif n >= LOOSE_WORDS:
+            yield from ((n, tuple(i for i in range(n) if i != out)) for out in range(n))
+        else:
+            yield n, tuple(range(n))
+
+
 class Index:
     """Seeds of one bounded part of the benchmark: (item_id, words) with at least ``LEAST_WORDS`` words each."""
 
@@ -58,12 +75,11 @@ class Index:
         self.codes_of = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}), 1)}
         self.ids = [i for i, _ in items]
         self.items = [np.array([self.codes_of[w] for w in ws], np.int64) for _, ws in items]
-        span = max(m[-1] for m in MASKS) + 1
         self.seeds = []
-        for mask in [*MASKS, *(tuple(range(n)) for n in sorted({len(x) for x in self.items if len(x) < span}))]:
+        for size, mask in masks_for({len(x) for x in self.items}):
             h, item, pos = [], [], []
             for k, codes in enumerate(self.items):
-                if (len(codes) >= span) == (mask in MASKS) and (mask in MASKS or len(codes) == len(mask)):
+                if size == min(len(codes), SPAN):
                     at, x = seeds(codes, mask)
                     h.append(x)
                     item.append(np.full(len(at), k))
@@ -100,7 +116,7 @@ class Index:
             same = flat[diagonal + a : diagonal + b] == x[a:b]
             w = min(self.window, len(x))
             sums = np.concatenate([[0], np.cumsum(same)])
-            need = -(-self.match * w // 1) if len(x) >= self.window else w
+            need = -(-self.match * w // 1) if len(x) >= self.window else w - (w >= LOOSE_WORDS)
             good = np.flatnonzero(sums[w:] - sums[:-w] >= need) if len(same) >= w else []
             if len(good):
                 p, q = int(good[0]), int(good[-1]) + w
@@ -129,7 +145,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row for each document row and benchmark item that overlap: where, over how many words, how many equal.
 
     An overlap is a run of windows of ``window`` words of which at least ``match`` are equal, position by position
-    (items of fewer words: all of them, equal). Items of fewer than five words prove nothing and take no part. Null
+    (items of 8 to 12 words: all but one of them, of 5 to 7: all). Items of fewer than five words prove nothing and take
+    no part. Null
     and empty texts have no overlaps; a null id stays null; repeated rows repeat theirs; repeated benchmark rows count
     once. Empty tables give no rows. Texts are whole and other columns are not read. A benchmark beyond
     ``part_words`` words is matched part by part, with the same rows as a result.
@@ -153,11 +170,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of every whole text of ``documents`` with ``benchmark``; odd rows as in ``leaks``."""
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the rows that overlap a benchmark item."""
+    """``docs`` without the rows that overlap a benchmark item.
+
+    Null and empty texts overlap none and stay, repeated rows share their fate, an empty table gives no rows; an empty
+    benchmark leaves all.
+    """
     at = docs.columns.index("text")
     for index in indexes(read(spark, sf_dir, "benchmark"), "item_id", "text", WINDOW, MATCH, BENCH_WORDS):
         held = spark.sparkContext.broadcast(index)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ._common import fold, read
 
 FIT_DOCS = 6000
-FIT_CHARS = 200_000
 THRESHOLD = 0.3
 
 Rule = tuple[tuple[int, bool, float], ...]  # statistic, whether above, bound
@@ -131,15 +130,15 @@ def compiled(rules: list[tuple[Rule, float]], bias: float, columns: list[Column]
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> tuple[list[tuple[Rule, float]], float]:
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[tuple[Rule, float]], float]:
     """Rules from labelled documents whose fold (of 5) is not 0.
 
     Labels that are null or have no id do not count; a document labelled twice has quality if one label says so. The
-    sample is bounded: the ``fit_docs`` labelled ids of least hash, texts of up to ``fit_chars`` characters.
+    sample is bounded: the ``fit_docs`` labelled ids of least hash, with their whole texts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = sample.select("y", *[c.alias(k) for k, c in statistics(F.col("text")).items()]).toPandas().to_numpy(float)
     return fit(got[:, 1:], (got[:, 0] > 0).astype(float)) if len(got) else fit(np.empty((0, 0)), np.empty(0))
@@ -155,6 +154,7 @@ def score(docs: DataFrame, rules: list[tuple[Rule, float]], bias: float, id_col:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text of ``documents``, learnt from ``labels``; odd rows as in ``train`` and ``score``."""
     docs = read(spark, sf_dir, "documents")
     d = score(docs, *train(docs, read(spark, sf_dir, "labels")))
     return d.select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -102,7 +102,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans that decode to key material; PEM armour, signed tokens, then bare base64 and hex values."""
     found = []
@@ -113,9 +112,11 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
                 found.append(("pem", *m.span()))
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
-    taken = [x[1:] for x in found]
+    taken, at, end = sorted(x[1:] for x in found), 0, 0
     for m in BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
+        while at < len(taken) and taken[at][0] <= m.start():  # both go forward
+            end, at = max(end, taken[at][1]), at + 1
+        if m.start() < end:
             continue
         value = m[0]
         for data in (bytes.fromhex(value) if len(value) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", value) else None, unbase64(value)):
@@ -170,11 +171,15 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of ``documents``, one row a document; odd rows as in ``scan``."""
     return scan(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with every secret replaced in its text and n_chars brought up to date; no document goes."""
+    """``docs`` with every secret replaced in its text and n_chars brought up to date; no document goes.
+
+    Null and empty texts stay as they are, repeated rows repeat, null ids stay null, an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -25,7 +25,6 @@ PUNCTUATION = string.punctuation.encode()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FIT_DOCS = 2500
 CHAIN_DOCS = 700
-FIT_CHARS = 20_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -155,8 +154,8 @@ class Types:
                     found.add(w)
         return found
 
-    def common(self, most: int = 4000, least: int = 3) -> set[bytes]:
-        return {w for w, c in (self.df[0] + self.df[1]).most_common(most) if c >= least}
+    def common(self, least: int = 3) -> set[bytes]:
+        return {w for w, c in (self.df[0] + self.df[1]).items() if c >= least}
 
 
 def fit(docs: list[list[bytes]], toxic: np.ndarray, share: float, types: Types, steps: int = 60, l2: float = 1e-3) -> Model | None:
@@ -198,27 +197,27 @@ def fit(docs: list[list[bytes]], toxic: np.ndarray, share: float, types: Types,
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> tuple[Model | None, float]:
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, chain_docs: int = CHAIN_DOCS) -> tuple[Model | None, float]:
     """The model and the share of toxic documents among the labelled ones whose fold (of 4) is not 2.
 
     Labels that are null or have no id do not count; a document labelled twice is toxic if one label says so. The
-    sample is bounded: the ``fit_docs`` toxic and twice as many clean documents of least id hash, without those of more
-    than ``fit_chars`` characters. Word types are tested on all of them, the chain is fitted to ``CHAIN_DOCS`` of each.
+    sample is bounded: the ``fit_docs`` toxic and twice as many clean documents of least id hash, with their whole
+    texts. Word types are tested on all of them, the chain is fitted to the first ``chain_docs`` of each kind.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {bool(t): c for t, c in known.groupBy((F.col("toxic") > 0).alias("t")).count().collect()}
     share = n.get(True, 0) / max(1, sum(n.values()))
+    kinds = [known.select("doc_id", (F.col("toxic") > 0).alias("kind")).where(F.col("kind") == F.lit(kind)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for kind, most in ((True, fit_docs), (False, 2 * fit_docs))]
+    chosen = kinds[0].unionByName(kinds[1])
+    texted = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    got = texted.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
     texts, toxic, types = [], [], Types()
-    texted = docs.where(F.col("text").isNotNull() & (F.length("text") <= fit_chars)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for kind, most in ((True, fit_docs), (False, 2 * fit_docs)):
-        chosen = known.where((F.col("toxic") > 0) == F.lit(kind)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        got = texted.join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
-        for i, x in enumerate(got.select("text").toLocalIterator()):
-            words = tokens(x.text.encode())
-            types.add(words, kind)
-            if i < CHAIN_DOCS:
-                texts.append(words)
-                toxic.append(kind)
+    for x in got.select("kind", "text").toLocalIterator():
+        words = tokens(x.text.encode())
+        types.add(words, x.kind)
+        if types.docs[x.kind] <= chain_docs:
+            texts.append(words)
+            toxic.append(x.kind)
     return fit(texts, np.array(toxic, bool), share, types), share
 
 
@@ -254,23 +253,29 @@ THRESHOLD = 0.3
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and offending spans of every whole text of ``documents``; odd rows as in ``train`` and ``score``."""
     docs = read(spark, sf_dir, "documents")
     d = score(docs, *train(docs, read(spark, sf_dir, "labels")), spans=True)
     return d.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the rows that score as toxic."""
+    """``docs`` without the rows that ``op5_toxicity`` would predict as toxic.
+
+    Without labels of both kinds among these documents all rows score the toxic labels' share, so all stay or, where
+    that is ``THRESHOLD`` or more, all go. Null and empty texts score as texts without offending words, repeated rows
+    share their fate, null ids play no part, an empty table gives no rows.
+    """
     model, share = train(docs, read(spark, sf_dir, "labels"))
+    if model is None:
+        return docs.where(F.lit(share < THRESHOLD))
     held, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for whole in batches:
             for batch in rows(whole, 500):
-                if m is not None:
-                    s = m.score(*m.tags([tokens((t or "").encode()) for t in batch.column(at).to_pylist()]))
-                    batch = batch.filter(pa.array(s < THRESHOLD))
-                yield batch
+                s = m.score(*m.tags([tokens((t or "").encode()) for t in batch.column(at).to_pylist()]))
+                yield batch.filter(pa.array(s < THRESHOLD))
 
     return mapped(docs, run, docs.schema)
