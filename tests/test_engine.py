@@ -1,6 +1,7 @@
 """Contract rules, panel invariants, kernels and the calendar, on small series of known shape."""
 
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
@@ -311,3 +312,55 @@ def test_stream_and_batch_agree(spark, tmp_path, sf):
     batch = ev.tumbling(sr.read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     key = ["start", "event_type"]
     assert sorted(map(tuple, spark.table("hours").select(*key, "n").collect())) == sorted(map(tuple, batch.select(*key, "n").collect()))
+
+
+def test_month_matrix_refuses_a_changed_page(spark):
+    months = list("abcdefghijkl")
+
+    def page(header, *rows):
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in (header, *rows)) + "</table>"
+
+    head, row = ["Year", *months, "Total"], ["2001", *map(str, range(12)), "66"]
+
+    def parsed(text):
+        return html.month_matrix(html.table_cells(spark.createDataFrame([(1, text)], "page_id long, html string")), months).collect()
+
+    got = parsed(page(head, row, ["note"]))
+    assert len(got) == 12 and (got[0].year, got[0].total) == (2001, "66") and sorted(r.value for r in got) == sorted(map(str, range(12)))
+    for bad in (page(["Year", *months[::-1], "Total"], row), page(head, row[:-1])):
+        with pytest.raises(Exception, match="page 1, table 0, row 1"):
+            parsed(bad)
+
+
+def test_months_of_windows_are_strict():
+    assert wd._month("2020-01", "x") == wd._month(dt.date(2020, 1, 9), "x") == dt.date(2020, 1, 1)
+    for bad in ("2020-01xyz", "2020", "2020-13", None):
+        with pytest.raises(ConfigError):
+            wd._month(bad, "x")
+
+
+def test_surprise_scores_and_state_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    y = {"a": 1000 + 50 * np.sin(np.arange(60) * np.pi / 6) + rng.normal(0, 20, 60), "b": 1000 + rng.normal(0, 20, 60), "flat": np.full(40, 7.0), "short": np.arange(20.0)}
+    y["b"][50:] *= 0.1
+    rows = [(k, dt.date(2000 + i // 12, i % 12 + 1, 1), float(v)) for k, x in y.items() for i, v in enumerate(x)]
+    scores = kn.surprise_scores(spark.createDataFrame(rows, "series_id string, month date, y double"))
+    got = {}
+    for r in scores.orderBy("month").collect():
+        got.setdefault(r.series_id, []).append(r.score)
+    assert set(got) == {"a", "b", "flat"} and set(got["flat"]) == {0.0}
+    for k in ("a", "b"):
+        r = y[k] - kn.Smoothing.fit(y[k]).fitted
+        want = (r - np.median(r)) / (1.4826 * np.median(np.abs(r - np.median(r))))
+        assert np.allclose(got[k], want)
+    state = {r.series_id: r.in_shock for r in kn.detector(scores, 6).collect()}
+    assert state == {k: kn.in_shock(np.array(v), 6) for k, v in got.items()} and len(set(state.values())) == 2
+
+
+def test_hashed_starts_are_independent(spark):
+    drawn = bs.starts(spark, 56, bs.BootstrapConfig(n_resamples=2000)).collect()
+    picks = {}
+    for r in drawn:
+        assert r.start == int(hashlib.md5(f"{r.b}:{r.k}".encode()).hexdigest()[:8], 16) % 45
+        picks.setdefault(r.b, []).append((r.k, r.start))
+    assert len({tuple(sorted(x)) for x in picks.values()}) == 2000

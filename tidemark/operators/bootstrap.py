@@ -17,7 +17,7 @@ class BootstrapConfig:
     n_resamples: int = 200
     block: int = 12
     confidence: float = 0.95
-    seed: int | None = None  # none: starts from a fixed arithmetic rule
+    seed: int | None = None  # none: starts from a hash of the resample and the block
 
 
 def starts(spark: SparkSession, n_origins: int, config: BootstrapConfig) -> DataFrame:
@@ -27,7 +27,7 @@ def starts(spark: SparkSession, n_origins: int, config: BootstrapConfig) -> Data
     blocks, most = -(-n_origins // config.block), n_origins - config.block + 1
     if config.seed is None:
         grid = spark.range(config.n_resamples).select(F.col("id").alias("b"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("k"))
-        return grid.withColumn("start", F.expr(f"(b * 7919 + k * 104729) % {most}"))
+        return grid.withColumn("start", F.expr(f"conv(substr(md5(concat(b, ':', k)), 1, 8), 16, 10) % {most}").cast("long"))
     rng = np.random.default_rng(config.seed)
     drawn = [(b, k, int(s)) for b in range(config.n_resamples) for k, s in enumerate(rng.integers(0, most, size=blocks))]
     return spark.createDataFrame(drawn, "b long, k long, start long")

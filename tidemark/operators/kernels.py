@@ -160,6 +160,19 @@ def surprises(y: np.ndarray, fit: Smoothing) -> np.ndarray:
     return (r - centre) / scale
 
 
+def surprise_scores(series: DataFrame) -> DataFrame:
+    """(series_id, month, score): ``surprises`` of an additive Holt-Winters fit to each whole series of two years or more."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("month")
+        y = part["y"].to_numpy(float)
+        if len(y) < 2 * M:
+            return part.iloc[:0].rename(columns={"y": "score"}).astype({"score": float})
+        return pd.DataFrame({"series_id": part["series_id"], "month": part["month"], "score": surprises(y, Smoothing.fit(y))})
+
+    return series.select("series_id", "month", "y").groupBy("series_id").applyInPandas(run, "series_id string, month date, score double")
+
+
 def in_shock(scores: np.ndarray, dwell: int) -> bool:
     """State after the last month: on below -ENTER or above ENTER_UP, off above -EXIT once ``dwell`` months have passed."""
     if len(scores) < MIN_HISTORY:

@@ -76,8 +76,12 @@ def people(value: float | None) -> str:
 
 
 def briefing(plan: DataFrame, model: str) -> str:
+    """A line a month; a plan of more than ``MOST_ROWS`` rows is no briefing and raises."""
     lines = [f"# Planning briefing ({model})", ""]
-    for r in plan.orderBy("series_id", "month").limit(MOST_ROWS).collect():
+    rows = plan.orderBy("series_id", "month").limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ContractViolation(f"the plan has over {MOST_ROWS} rows")
+    for r in rows:
         lines.append(f"- {r.month:%Y-%m}: {people(r.forecast)}, band {people(r.lo)} to {people(r.hi)}; in a shock {people(r.shock_lo)} to {people(r.shock_hi)}; {people(r.daily_mean)} a day")
     return "\n".join(lines) + "\n"
 

@@ -28,7 +28,7 @@ from . import flows
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 PLACES = 6
-BOOT = bs.BootstrapConfig(n_resamples=100)
+BOOT = bs.BootstrapConfig(n_resamples=2000)
 PAIRS = (("season", "seasonal_naive", "naive"), ("shift", "level_shift", "seasonal_naive"))
 
 
@@ -89,7 +89,7 @@ DRAWS = f"""
 , cells AS (SELECT origin, model, regime, sum(mase) AS total, count(*) AS n FROM lab GROUP BY ALL),
 ix AS (SELECT origin, row_number() OVER (ORDER BY origin) - 1 AS i FROM (SELECT DISTINCT origin FROM lab)),
 sz AS (SELECT count(*) AS n FROM ix),
-pk AS (SELECT b.b, (b.b * 7919 + k.k * 104729) % (sz.n - 12 + 1) + p.p AS i FROM sz, range({BOOT.n_resamples}) b(b), range(100) k(k), range(12) p(p) WHERE k.k * 12 + p.p < sz.n),
+pk AS (SELECT b.b, CAST('0x' || substr(md5(b.b || ':' || k.k), 1, 8) AS BIGINT) % (sz.n - 12 + 1) + p.p AS i FROM sz, range({BOOT.n_resamples}) b(b), range(100) k(k), range(12) p(p) WHERE k.k * 12 + p.p < sz.n),
 dr AS (SELECT b, model, regime, sum(total) / sum(cells.n) AS mean FROM pk JOIN ix USING (i) JOIN cells USING (origin) GROUP BY ALL)"""
 
 
@@ -419,7 +419,7 @@ SPAN = (dt.date(1995, 1, 1), dt.date(2002, 12, 31))
 
 
 def _kernels(spark, sf, models, **more):
-    config = pn.PanelConfig(min_train=48, horizons=(1, 2, 3), step=3)
+    config = pn.PanelConfig(horizons=(1, 2, 3))
     return kn.kernel_panel(flows.lineitem_series(spark, sf), config, models, **more)
 
 
@@ -438,7 +438,7 @@ def sarimax_cal(spark, sf):
 @register("full_registry_leaderboard")
 def full_registry_leaderboard(spark, sf):
     """All forecasters on one rectangular panel, by regime."""
-    config = pn.PanelConfig(min_train=48, horizons=(1, 2, 3), step=3)
+    config = pn.PanelConfig(min_train=38, horizons=(1, 2, 3))  # the least that every forecaster can be fitted to
     s = flows.lineitem_series(spark, sf)
     fitted = kn.kernel_panel(s, config, kn.KERNELS, calendar=ls.features(spark, *SPAN), features=["festival_days", "lunar_drift_days"]).drop("reason")
     closed = pn.closed_forms(pn.origins(s, config), config, flows.MODELS)
@@ -451,33 +451,57 @@ def applicability(spark, sf):
 
 
 def _year_scores(series: DataFrame) -> DataFrame:
-    """Seasonal differences less their median, in units of 1.4826 times their median absolute deviation."""
+    """Seasonal differences less their median, in units of 1.4826 times their median absolute deviation; 0 below the floor."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("series_id").orderBy("month")
-    d = series.withColumn("d", (F.col("y") - F.lag("y", 12).over(w)).cast("double")).where("d is not null")
-    c = d.withColumn("c", F.median("d").over(Window.partitionBy("series_id")))
-    m = c.withColumn("m", F.median(F.abs(F.col("d") - F.col("c"))).over(Window.partitionBy("series_id")))
-    return m.select("series_id", "month", ((F.col("d") - F.col("c")) / (F.lit(1.4826) * F.col("m"))).alias("score"))
-
-
-SCORES = ", sd AS (SELECT * FROM (SELECT series_id, month, CAST(y - lag(y, 12) OVER (PARTITION BY series_id ORDER BY month) AS DOUBLE) AS d FROM s) WHERE d IS NOT NULL), sm AS (SELECT *, median(d) OVER (PARTITION BY series_id) AS c FROM sd), sq AS (SELECT *, median(abs(d - c)) OVER (PARTITION BY series_id) AS m FROM sm), ss AS (SELECT series_id, month, (d - c) / (1.4826 * m) AS score FROM sq)"
+    w = Window.partitionBy("series_id")
+    d = series.withColumn("d", (F.col("y") - F.lag("y", 12).over(w.orderBy("month"))).cast("double")).withColumn("floor", 1e-4 * F.greatest(F.median(F.abs("y")).over(w), F.lit(1.0)))
+    c = d.where("d is not null").withColumn("c", F.median("d").over(w))
+    m = c.withColumn("m", F.lit(1.4826) * F.median(F.abs(F.col("d") - F.col("c"))).over(w))
+    return m.select("series_id", "month", F.when(F.col("m") <= F.col("floor"), F.lit(0.0)).otherwise((F.col("d") - F.col("c")) / F.nullif("m", F.lit(0.0))).alias("score"))
+
+
+SCORES = """
+, sd AS (
+  SELECT *, 1e-4 * greatest(median(abs(y)) OVER (PARTITION BY series_id), 1.0) AS least
+  FROM (SELECT series_id, month, y, CAST(y - lag(y, 12) OVER (PARTITION BY series_id ORDER BY month) AS DOUBLE) AS d FROM s)
+),
+sm AS (SELECT *, median(d) OVER (PARTITION BY series_id) AS c FROM sd WHERE d IS NOT NULL),
+sq AS (SELECT *, 1.4826 * median(abs(d - c)) OVER (PARTITION BY series_id) AS m FROM sm),
+ss AS (SELECT series_id, month, CASE WHEN m <= least THEN 0.0 ELSE (d - c) / nullif(m, 0.0) END AS score FROM sq)
+"""
 
 
-@register("surprise_scores", _flow("l_returnflag") + SCORES + f"SELECT series_id, month, {_r('score', 'score')} FROM ss")
-def surprise_scores(spark, sf):
+@register("seasonal_difference_scores", _flow("l_returnflag") + SCORES + f"SELECT series_id, month, {_r('score', 'score')} FROM ss")
+def seasonal_difference_scores(spark, sf):
+    """A score that needs no fit; ``surprise_scores`` is the one that the switching forecasters use."""
     return _year_scores(flows.lineitem_series(spark, sf, "l_returnflag"))
 
 
-@register("shock_state_fsm", _flow("l_returnflag").replace("WITH m0", "WITH RECURSIVE m0") + SCORES + """
+@register("seasonal_difference_state", _flow("l_returnflag").replace("WITH m0", "WITH RECURSIVE m0") + SCORES + """
 , nb AS (SELECT series_id, score, row_number() OVER (PARTITION BY series_id ORDER BY month) AS k, count(*) OVER (PARTITION BY series_id) AS n FROM ss),
-st AS (SELECT series_id, CAST(0 AS BIGINT) AS k, false AS shock, 0 AS held FROM nb WHERE k = 1
-  UNION ALL SELECT nb.series_id, nb.k, CASE WHEN st.shock THEN NOT (st.held + 1 >= 6 AND nb.score > -1.0) ELSE nb.score < -2.5 OR nb.score > 15.0 END, CASE WHEN st.shock THEN st.held + 1 ELSE 0 END FROM st JOIN nb ON nb.series_id = st.series_id AND nb.k = st.k + 1)
+st AS (
+  SELECT series_id, CAST(0 AS BIGINT) AS k, false AS shock, 0 AS held FROM nb WHERE k = 1
+  UNION ALL
+  SELECT nb.series_id, nb.k, CASE WHEN st.shock THEN NOT (st.held + 1 >= 6 AND nb.score > -1.0) ELSE nb.score < -2.5 OR nb.score > 15.0 END,
+    CASE WHEN st.shock THEN st.held + 1 ELSE 0 END
+  FROM st JOIN nb ON nb.series_id = st.series_id AND nb.k = st.k + 1
+)
 SELECT st.series_id, shock AS in_shock FROM st JOIN nb ON nb.series_id = st.series_id AND nb.k = st.k AND nb.k = nb.n""")
-def shock_state_fsm(spark, sf):
+def seasonal_difference_state(spark, sf):
     return kn.detector(_year_scores(flows.lineitem_series(spark, sf, "l_returnflag")), 6)
 
 
+@register("surprise_scores")
+def surprise_scores(spark, sf):
+    return kn.surprise_scores(flows.lineitem_series(spark, sf, "l_returnflag"))
+
+
+@register("shock_state_fsm")
+def shock_state_fsm(spark, sf):
+    return kn.detector(kn.surprise_scores(flows.lineitem_series(spark, sf, "l_returnflag")), 6)
+
+
 @register("festival_days")
 def festival_days(spark, sf):
     return ls.occurrence_days(spark, *SPAN)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import parse_count
@@ -39,11 +39,21 @@ def tag_counts(pages: DataFrame) -> DataFrame:
 
 
 def month_matrix(cells: DataFrame, months: list[str]) -> DataFrame:
-    """(year, month, value, total) from rows of a year, twelve monthly cells and a total; rows of another shape are left out."""
-    wide = cells.groupBy("page_id", "table", "row").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("c"))
-    ok = wide.where((F.size("c") == len(months) + 2) & F.col("c")[0]["value"].rlike("^[0-9]{4}$"))
-    named = F.array(*[F.struct(F.lit(i + 1).alias("month"), F.col("c")[i + 1]["value"].alias("value")) for i in range(len(months))])
-    return ok.select(F.col("c")[0]["value"].cast("int").alias("year"), F.explode(named).alias("m"), F.col("c")[len(months) + 1]["value"].alias("total")).select("year", "m.month", "m.value", "total")
+    """(year, month, value, total) from tables that have a header of any cell, ``months`` and a total, and a row a year.
+
+    A table without that header whose rows begin with a year, or a year's row of another shape, is an error when the
+    result is computed: a changed page must not yield a shorter series. Rows that begin otherwise are left out.
+    """
+    wide = cells.groupBy("page_id", "table", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda x: x["value"]).alias("c"))
+    headed = F.max((F.size("c") == len(months) + 2) & (F.slice("c", 2, len(months)) == F.array(*map(F.lit, months)))).over(Window.partitionBy("page_id", "table"))
+    years = wide.withColumn("headed", headed).where(F.col("c")[0].rlike("^[0-9]{4}$"))
+    at = F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(", table "), F.col("table").cast("string"), F.lit(", row "), F.col("row").cast("string"))
+    no_header = F.raise_error(F.concat(at, F.lit(": no header of months above")))
+    odd_shape = F.raise_error(F.concat(at, F.lit(f": not {len(months) + 2} cells")))
+    c = F.when(~F.col("headed"), no_header.cast("array<string>")).when(F.size("c") != len(months) + 2, odd_shape.cast("array<string>")).otherwise(F.col("c"))
+    checked = years.select(c.alias("c"))
+    named = F.array(*[F.struct(F.lit(i + 1).alias("month"), F.col("c")[i + 1].alias("value")) for i in range(len(months))])
+    return checked.select(F.col("c")[0].cast("int").alias("year"), F.explode(named).alias("m"), F.col("c")[len(months) + 1].alias("total")).select("year", "m.month", "m.value", "total")
 
 
 def month_list(cells: DataFrame) -> DataFrame:

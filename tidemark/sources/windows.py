@@ -32,8 +32,9 @@ class ShockWindow:
 
 
 def _month(value: object, where: str) -> dt.date:
+    """A month from YYYY-MM, or from a date, of which the day is left out."""
     try:
-        return dt.date.fromisoformat(f"{str(value)[:7]}-01")
+        return dt.date.fromisoformat(f"{value}-01" if len(str(value)) == 7 else str(value)[:10] if isinstance(value, dt.datetime) else str(value)).replace(day=1)
     except ValueError:
         raise ConfigError(f"{where}: {value!r} is not a month as YYYY-MM") from None
 
