@@ -350,8 +350,10 @@ def test_licences_by_brute_force(spark, docs, none):
     grams = {k: set(licenses.bigrams(licenses.normal_words(t))) for k, t in licenses.TEMPLATES.items()}
     for i, text in rows:
         parts = [("line", k, u) for k, u in enumerate(text.split("\n"))]
-        if re.search(r"\n[ \t]*\n", text):
-            parts += [("paragraph", k, u) for k, u in enumerate(re.split(r"\n[ \t]*\n", text)) if "\n" in u]
+        if len(cuts := re.split(r"\n[ \t#*/;%!-]*\n", text)) > 1:
+            parts += [("paragraph", k, u) for k, u in enumerate(cuts) if "\n" in u]
+        if len(cuts := re.split(r"""[.!?]["')\]]*[ \t\n]""", text)) > 1:
+            parts += [("sentence", k, u) for k, u in enumerate(cuts)]
         for kind, k, u in parts:
             g = set(licenses.bigrams(licenses.normal_words(u)))
             best = max(((2 * len(g & t) / (len(g) + len(t)), [-ord(c) for c in name], name) for name, t in grams.items() if g), default=(0,))
@@ -370,6 +372,23 @@ def der(*parts):
     return b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
 
 
+def test_notices_in_comments_and_in_longer_lines(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0-or-later"].split()
+    comment = "#\n# A tool.\n#\n" + "\n".join("# " + " ".join(gpl[i : i + 9]) for i in range(0, len(gpl), 9)) + "\n#\n# See the file.\n"
+    line = "This tool parses logs quickly. Released under the MIT License. See the manual for usage."
+    many = "released under the mit license " * 60
+    got = licenses.scan(spark.createDataFrame([(1, comment), (2, line), (3, many)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.unit, r.license) for r in got} == {(1, "paragraph", "GPL-3.0-or-later"), (1, "sentence", "GPL-3.0-or-later"), (2, "sentence", "MIT"), (3, "line", "MIT")}
+
+
+def test_long_conversations_cost_time_in_proportion(spark):
+    rows = [(1, t, "user" if t % 2 else "bot", f"turn {t}") for t in range(20_000)]
+    rows += [(2, t, r, x) for _, t, r, x in rows[:15_000]] + [(3, t, r, x) for _, t, r, x in rows[:15_000]] + [(3, 15_000, "user", "other")]
+    began = time.time()
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("conv_id", "n_turns").collect()
+    assert sorted(map(tuple, got)) == [(1, 20_000), (3, 15_001)] and time.time() - began < 60
+
+
 def test_secret_spans(spark, docs, none):
     key = der(b"\x02\x01\x00", *[b"\x02\x20" + bytes(range(1, 33))] * 5)
     b64 = base64.b64encode(key).decode()

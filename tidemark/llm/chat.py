@@ -7,7 +7,9 @@ and what is left is rendered. Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, read
@@ -21,13 +23,20 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, own, proper): the hash of all turns, and those of the proper prefixes.
+    """(conv_id, k, last, a, b): for each turn the rolling hash (a, b) of all turns up to it, and whether it is the last.
 
-    Only digests are gathered, not texts. Turns are ordered by number (null first), role and digest.
+    Turns are ordered by number (null first), role and digest; rows that repeat all three count once. The hash is the
+    exclusive or of 120 bits of the MD5 of each turn's place and digest, so a conversation costs time in proportion to
+    its turns and none of it is gathered.
     """
-    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "digest"))).alias("t"))
-    rolled = F.aggregate(F.transform("t", lambda x: x["digest"]), F.array().cast("array<string>"), lambda acc, x: F.concat(acc, F.array(F.md5(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), x)))))
-    return listed.select("conv_id", rolled.alias("h")).select("conv_id", F.size("h").cast("long").alias("n_turns"), F.element_at("h", -1).alias("own"), F.slice("h", F.lit(1), F.size("h") - 1).alias("proper"))
+    w = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "digest")
+    again = reduce(Column.__and__, [F.lag(c).over(w).eqNullSafe(F.col(c)) for c in ("turn", "role", "digest")]) & (F.row_number().over(w) > 1)
+    t = turns.select("conv_id", "turn", "role", "digest").withColumn("again", again).where(~F.col("again"))
+    t = t.withColumn("k", F.row_number().over(w).cast("long")).withColumn("last", F.lead("k").over(w).isNull())
+    placed = F.md5(F.concat(F.col("k").cast("string"), F.lit(":"), F.col("digest")))
+    halves = [F.conv(F.substring(placed, at, 15), 16, 10).cast("long") for at in (1, 16)]
+    rolled = [F.bit_xor(h).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name) for h, name in zip(halves, "ab", strict=True)]
+    return t.select("conv_id", "k", "last", *rolled)
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -37,9 +46,8 @@ def maximal(turns: DataFrame) -> DataFrame:
     common costs one row.
     """
     p = checkpointed(prefixes(turns))
-    unique = p.groupBy("own").agg(F.min("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"))
-    longer = p.select(F.explode("proper").alias("own")).distinct()
-    return unique.join(longer, "own", "left_anti").select("conv_id", "n_turns")
+    unique = p.where("last").groupBy("a", "b").agg(F.min("conv_id").alias("conv_id"), F.first("k").alias("n_turns"))
+    return unique.join(p.where("NOT last").select("a", "b").distinct(), ["a", "b"], "left_anti").select("conv_id", "n_turns")
 
 
 def render(conversations: DataFrame, opening: str = "<|im_start|>", closing: str = "<|im_end|>\n") -> DataFrame:
@@ -57,6 +65,7 @@ def render(conversations: DataFrame, opening: str = "<|im_start|>", closing: str
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation of ``conversations`` as one text; odd rows as in ``render``."""
     return render(read(spark, sf_dir, "conversations"))
 
 

@@ -1,6 +1,7 @@
 """Licence scan: text units against licence templates by the Dice coefficient of their word bigrams.
 
-Units are lines and paragraphs of several lines. A unit that reaches the threshold shares two thirds of a template's
+Units are lines, paragraphs of several lines and sentences. A line of comment signs alone ends a paragraph as a blank
+one does. A unit that reaches the threshold shares two thirds of a template's
 bigrams, so it holds one of a few of them, and its number of bigrams lies between two bounds; both tests are exact
 and come before any set is built. Only DataFrame functions are used.
 """
@@ -32,6 +33,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 THRESHOLD = 0.8
+BLANK = r"\n[ \t#*/;%!-]*\n"
+STOP = r"[.!?][\"')\]]*[ \t\n]"
 
 
 def normal_words(text: str) -> list[str]:
@@ -63,12 +66,13 @@ def _any(tests: list[Column]) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each unit that is like a template: doc_id, unit ("line" or "paragraph"), position (from 0), license, dice.
+    """One row for each unit that is like a template: doc_id, unit ("line", "paragraph" or "sentence"), position (from 0), license, dice.
 
     Words are lower-cased runs of a-z and 0-9; a unit's bigrams are a set, units of one word have none and match
     nothing. Of several templates the one of highest coefficient is reported, ties to the name that sorts first. Null
     and empty texts have no rows, null ids stay null, repeated rows repeat theirs, an empty table gives none. Whole
-    texts are scanned and other columns are not read.
+    texts are scanned and other columns are not read. A text without a blank line has no paragraphs but its lines, one
+    without a stop followed by white space no sentences.
     """
     grams = {k: g for k, t in sorted((templates or TEMPLATES).items()) if (g := bigrams(normal_words(t)))}
     both = sorted({x for g in grams.values() for x in signs(g, threshold)})
@@ -84,9 +88,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def cut(pattern: str, unit: str) -> Column:
         return F.transform(F.split("t", pattern), lambda u, i: F.struct(F.lit(unit).alias("unit"), i.cast("long").alias("position"), u.alias("u")))
 
-    parts = F.filter(cut(r"\n[ \t]*\n", "paragraph"), lambda x: x["u"].contains("\n"))
-    parts = F.when(F.col("t").rlike(r"\n[ \t]*\n"), parts).otherwise(F.slice(parts, 1, 0))
-    units = d.select("doc_id", F.explode(F.concat(cut("\n", "line"), parts)).alias("x")).select("doc_id", "x.unit", "x.position", "x.u").where(signed(F.col("u")))
+    parts = F.filter(cut(BLANK, "paragraph"), lambda x: x["u"].contains("\n"))
+    sentences = cut(STOP, "sentence")
+    either = [F.when(F.col("t").rlike(pattern), found).otherwise(F.slice(found, 1, 0)) for pattern, found in ((BLANK, parts), (STOP, sentences))]
+    units = d.select("doc_id", F.explode(F.concat(cut("\n", "line"), *either)).alias("x")).select("doc_id", "x.unit", "x.position", "x.u").where(signed(F.col("u")))
     units = units.withColumn("w", F.filter(F.split("u", "[^a-z0-9]+"), lambda x: x != "")).where(F.size("w") > least)
     following = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
     pairs = F.array_distinct(F.filter(F.zip_with("w", following, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()))
@@ -99,11 +104,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every whole text of ``documents``; odd rows as in ``scan``."""
     return scan(read(spark, sf_dir, "documents"))
 
 
 def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same rows in DuckDB's SQL, every unit against every template."""
+    """The same rows in DuckDB's SQL, every unit against every template of a size that can reach the threshold."""
+    blank, stop = (x.replace("'", "''") for x in (BLANK, STOP))
     rows = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in sorted((templates or TEMPLATES).items()))
     grams = "list_distinct([{w}[i] || ' ' || {w}[i + 1] for i in range(1, len({w}))])"
     words = "list_filter(string_split_regex(lower({t}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -112,10 +119,11 @@ WITH raw AS (SELECT license, {words.format(t='body')} AS w FROM (VALUES {rows})
 tpl AS (SELECT license, {grams.format(w='w')} AS g FROM raw),
 cut AS (
   SELECT doc_id, 'line' AS unit, string_split(text, chr(10)) AS parts FROM documents
-  UNION ALL SELECT doc_id, 'paragraph', string_split_regex(text, '\\n[ \\t]*\\n') FROM documents WHERE regexp_matches(text, '\\n[ \\t]*\\n')
+  UNION ALL SELECT doc_id, 'paragraph', string_split_regex(text, '{blank}') FROM documents WHERE regexp_matches(text, '{blank}')
+  UNION ALL SELECT doc_id, 'sentence', string_split_regex(text, '{stop}') FROM documents WHERE regexp_matches(text, '{stop}')
 ), each AS (SELECT doc_id, unit, unnest(parts) AS u, unnest(range(len(parts))) AS position FROM cut),
-cand AS (SELECT doc_id, unit, position, {words.format(t='u')} AS w FROM each WHERE unit = 'line' OR contains(u, chr(10))),
-un AS (SELECT doc_id, unit, position, {grams.format(w='w')} AS g FROM cand WHERE len(w) > 1 AND len(w) < 200),
+cand AS (SELECT doc_id, unit, position, {words.format(t='u')} AS w FROM each WHERE unit <> 'paragraph' OR contains(u, chr(10))),
+un AS (SELECT doc_id, unit, position, {grams.format(w='w')} AS g FROM cand WHERE len(w) > 1),
 s AS (
   SELECT doc_id, unit, position, license, 2.0 * len(list_intersect(un.g, tpl.g)) / (len(un.g) + len(tpl.g)) AS dice
   FROM un JOIN tpl ON len(un.g) BETWEEN len(tpl.g) * {threshold} / (2 - {threshold}) - 1e-6 AND len(tpl.g) * (2 - {threshold}) / {threshold} + 1e-6
