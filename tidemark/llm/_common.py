@@ -7,12 +7,14 @@ import gc
 import hashlib
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+LEVEL = 6
+SHARE_BYTES = 1 << 24
+MOST_SHARES = 8192
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -103,6 +108,32 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, compressed: all lowest bytes, then the next ones, and so on."""
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+
+
+def share_count(df: DataFrame) -> int:
+    """How many tasks are to hold what ``df`` has: one for 16 MB as Spark estimates it, or the shuffle partitions; 32 at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # beyond 2^60: not known
+    return max(32, min(MOST_SHARES, size // SHARE_BYTES) if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` written to the checkpoint folder in buckets of its column ``block``, so that joins by block find it in place."""
+    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.bucketBy(buckets, "block").option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay
+    return out
+
+
 def offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -26,15 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpoint_dir, mapped, offsets, ragged, read, release, rows, sha256, small_batches
+from ._common import LEVEL, bucketed, mapped, offsets, packed, ragged, read, release, rows, sha256, share_count, unpacked
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK_WORDS = 2_000_000
 BLOCK_CHARS = 16_000_000
 GROUP_WORDS = 100_000
-LEVEL = 6
-SHARE_BYTES = 1 << 24
-MOST_SHARES = 8192
 
 # Unicode white space, as the tokenizer's pattern has it.
 WIDE = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -84,16 +80,6 @@ class Words:
         return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)] if words else []
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, compressed: all lowest bytes, then the next ones, and so on."""
-    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def unpacked(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
-
-
 def packed_words(words: list[str]) -> bytes:
     return zstandard.ZstdCompressor(level=LEVEL).compress("".join(words).encode())
 
@@ -228,13 +214,8 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, path: str, shares: int
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # beyond 2^60: not known
-    shares = shares or max(32, min(MOST_SHARES, size // SHARE_BYTES) if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"words_{uuid.uuid4().hex}"
-    with small_batches(spark):
-        d.mapInArrow(_cut(path, shares, block_words), BLOCKS).write.bucketBy(shares, "block").option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
-    cut = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay
+    shares = shares or share_count(d)
+    cut = bucketed(d.mapInArrow(_cut(path, shares, block_words), BLOCKS), shares)
     words = cut.where("kind = 0").select("block", "part", "sizes", "data").repartitionById(shares, F.col("part")).mapInArrow(_share(path), "block long, part int, sizes binary, data binary")
     texts = cut.where("kind > 0")
 
