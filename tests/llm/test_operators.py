@@ -209,9 +209,9 @@ def test_toxicity_learns_and_tags(spark, docs, none):
 
 
 def test_base_scores_and_tail_path(spark, docs, none):
-    ok = docs.where("doc_id is not null")
-    whole, tail = (table(suffix_tree.score_texts(docs, ok, table_words=n).selectExpr("id", "n_tokens", "n_known", "train_tokens", "round(base_score, 5)", "round(score, 5)"), "*") for n in (suffix_tree.TABLE_WORDS, 3))
-    assert whole == tail
+    ok = F.col("doc_id").isNotNull()
+    whole, *more = (table(suffix_tree.score_texts(docs, ok, shares=n, block_words=size).selectExpr("id", "n_tokens", "n_known", "train_tokens", "round(base_score, 5)", "round(score, 5)"), "*") for n, size in ((None, suffix_tree.BLOCK_WORDS), (3, 4)))
+    assert [whole] == more
     train = [(x or "").encode().lower().split() for i, x in ODD if i is not None]
     c = Counter(w for ws in train for w in ws) + Counter({None: len(train)})
     n, v = sum(c.values()), len(c)
@@ -221,7 +221,7 @@ def test_base_scores_and_tail_path(spark, docs, none):
         want.append((i, len(ws), sum(w in c for w in ws), n, round(sum(math.log10((c.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 5)))
     assert [r[:5] for r in whole] == sorted(want, key=str) and all(r[5] <= 0 for r in whole)
     assert suffix_tree.score_texts(none, ok).count() == 0
-    assert suffix_tree.score_texts(docs, none).where("n_known = 0 and train_tokens = 0").count() == len(ODD)
+    assert suffix_tree.score_texts(docs, F.lit(False)).where("n_known = 0 and train_tokens = 0").count() == len(ODD)
 
 
 def test_tree_uses_the_longest_context_and_sums_to_one():
@@ -252,7 +252,7 @@ def test_scores_of_open_and_closed_vocabularies(spark, kind):
     parts = ["ba", "do", "ki", "lu", "re", "sto"]
     rows = [(i, " ".join("".join(rng.choice(parts, 3 if kind == "closed" else rng.geometric(0.2))) for _ in range(60))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = suffix_tree.score_texts(df.where("doc_id >= 250"), df.where("doc_id < 250"))
+    got = suffix_tree.score_texts(df, F.col("doc_id") < 250).where("id >= 250")
     score, base, n = got.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     if kind == "closed":
         assert score >= base - 1e-4 * abs(base)

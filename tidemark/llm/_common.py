@@ -108,14 +108,14 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, compressed: all lowest bytes, then the next ones, and so on."""
-    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def packed(x: np.ndarray, width: int = 4) -> bytes:
+    """Unsigned integers of ``width`` bytes, compressed: all lowest bytes, then the next ones, and so on."""
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
 
 
-def unpacked(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+def unpacked(x: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}")
 
 
 def share_count(df: DataFrame) -> int:

@@ -1,38 +1,49 @@
-"""Language-model scores from a probabilistic suffix tree over the bytes of a text.
-
-A text is its lower-cased words, a space after each, then an end mark that also opens the next text. Counts of all
-byte sequences of up to ``DEPTH + 1`` are gathered over all training texts. A context becomes a node if it is common
-enough and its next-byte distribution diverges from that of its longest proper suffix, or a longer context needs it.
-Distributions are smoothed along the chain of suffixes; each byte is scored in the state of the longest context. The
-tree's probability of a word's bytes in turn smooths the word's own share of the training tokens, with a weight of
-``SPELLING`` times the words met once, which tell how open the vocabulary is: common words are scored by their counts,
-unknown ones by their spelling.
+"""Language-model scores from a probabilistic suffix tree over words, whose empty context spells words out byte by byte.
+
+A text is its lower-cased words, then an end mark that also opens the next text. States are the empty context and every
+word after which the distribution of the next word diverges from that of the empty context; the test is the gain in
+log likelihood of the training words when each is left out of the counts in turn, so chance repetitions do not pass. A
+token is scored in the longest state that the text before it ends in. A word's distribution is its counts and
+``WORD_KEEP`` more from that of the empty context. The empty context's is the words' counts, discounted by the ratio of
+words met once and twice, and their spelling under a second suffix tree, over bytes, which is grown from the distinct
+training words.
+
+Counts are gathered over all training texts and grow with them: nothing of the word level is held by one machine. Texts
+are cut to blocks; a block's distinct words, and later its distinct pairs of words, are dealt to shares, where each is
+summed over all blocks, and the sums come back to (block, place in its list). Only distinct words and pairs of blocks
+are shuffled. Pairs are dealt by their context, so that it can be tested as a whole; those of the few contexts that make
+up a thousandth of all tokens or more are dealt by both words, and the gains of the parts are added up.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, fold, offsets, read, rows, text_bytes, words
+from ._common import bucketed, checkpointed, fold, mapped, offsets, packed, read, release, rows, share_count, text_bytes, unpacked, words
+from .simhash import mixed
 
 DEPTH = 5
 P_MIN = 1e-5
 LEAST = 20
 DIVERGENCE = 0.01
 KEEP = 8.0
-SPELLING = 20.0
-TABLE_WORDS = 6_000_000
-HELD_WORDS = 200_000
-HELD_GRAMS = 1_000_000
-REST = pa.list_(pa.struct([("h", pa.int64()), ("spelt", pa.float64())]))
+WORD_KEEP = 50.0
+HOT = 1000
+GAIN = 10.0
+BLOCK_WORDS = 1_000_000
+BLOCK_BYTES = 16_000_000
+GROUP_WORDS = 100_000
 END = 10
 
 
@@ -47,7 +58,7 @@ def flat_bytes(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nda
 def before(flat: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     """The byte k places earlier in the same text, the opening mark just before it, 0 beyond."""
     out = np.zeros_like(flat)
-    out[k:] = flat[: len(flat) - k]
+    out[k:] = flat[: max(0, len(flat) - k)]
     out[place < k] = 0
     out[place == k - 1] = END
     return out
@@ -68,44 +79,98 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(kind, key, n) over all texts: words by hash (kind 0) and byte sequences (kind 1); tasks sum before the shuffle."""
+# kind 0: a share of a block's distinct words; 1: the share of each word; 2: positions of some texts' words
+NAMES = ["block", "kind", "part", "n", "arrays", "ids"]
+BLOCKS = "block long, kind int, part int, n long, arrays array<binary>, ids array<long>"
+TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
+def _row(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, TYPES, strict=True)], names=NAMES)
 
-        def out_words() -> pa.RecordBatch:
-            keys = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in seen), np.uint64, len(seen)).view(np.int64)
-            return out(0, keys, np.fromiter(seen.values(), np.int64, len(seen)))
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+def _cut(shares: int, block_words: int):
+    """Batches of (id, learn, text) to blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, numbers = TaskContext.get().partitionId(), count()
+
+        def block(code: dict[bytes, int], ids: list, learn: list[bool], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            at = (task << 32) + next(numbers)
+            listed = sorted(code)
+            first = np.fromiter(map(code.__getitem__, listed), np.int64, len(listed))
+            code.clear()
+            sizes, flat, learn = np.array([len(c) for c in codes], np.int64), np.concatenate(codes), np.array(learn, bool)
+            codes.clear()
+            order = np.argsort(-np.bincount(flat, minlength=len(listed))[first], kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[first[order]] = np.arange(len(order))
+            flat = rank[flat]
+            times = np.bincount(flat[np.repeat(learn, sizes)], minlength=len(order))
+            listed = [listed[i] for i in order.tolist()]
+            share = np.fromiter((zlib.crc32(w) % shares for w in listed), np.int64, len(listed))
+            by = np.argsort(share, kind="stable")
+            for mine in np.split(by, np.flatnonzero(np.diff(share[by])) + 1) if len(by) else ():
+                own = [listed[i] for i in mine.tolist()]
+                arrays = [packed(np.fromiter(map(len, own), np.int64, len(own))), zstandard.ZstdCompressor(level=3).compress(b"".join(own)), packed(times[mine])]
+                yield _row(at, 0, int(share[mine[0]]), len(own), arrays, None)
+            yield _row(at, 1, 0, len(share), [packed(share)], None)
+            ends = offsets(sizes)
+            group = ends[1:] // GROUP_WORDS + np.arange(len(ids)) // 2000
+            for part, texts in enumerate(np.split(np.arange(len(ids)), np.flatnonzero(np.diff(group)) + 1)):
+                a, b = int(texts[0]), int(texts[-1]) + 1
+                yield _row(at, 2, part, int(learn[a:b].sum()), [packed(sizes[a:b]), packed(flat[ends[a] : ends[b]]), packed(learn[a:b])], ids[a:b])
+
+        code, ids, learn, codes, n, size = defaultdict(count().__next__), [], [], [], 0, 0
         for whole in batches:
             for batch in rows(whole, 250):
-                split = [words(t) for t in text_bytes(batch.column(0))]
-                for ws in split:
-                    seen.update(ws)
-                flat, _, place = flat_bytes(split)
-                code = np.sort(grams(flat, place))
-                first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-                held.append((code[first], np.diff(np.append(first, len(code)))))
-                if sum(len(x) for x, _ in held) > 2 * HELD_GRAMS:
-                    held = [merged()]
-                    if len(held[0][0]) > HELD_GRAMS:
-                        yield out(1, *held.pop())
-                if len(seen) > HELD_WORDS:
-                    yield out_words()
-                    seen = Counter()
-        if held:
-            yield out(1, *merged())
-        yield out_words()
-
-    return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+                for i, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
+                    ws = words(text)
+                    ids.append(i)
+                    learn.append(train)
+                    codes.append(np.fromiter(map(code.__getitem__, ws), np.int64, len(ws)))
+                    n, size = n + len(ws), size + len(text)
+                    if n >= block_words or size >= BLOCK_BYTES:
+                        yield from block(code, ids, learn, codes)
+                        code, ids, learn, codes, n, size = defaultdict(count().__next__), [], [], [], 0, 0
+                        release()
+        if ids:
+            yield from block(code, ids, learn, codes)
+
+    return run
+
+
+class Share:
+    """Distinct words of a share, numbered as they turn up, with their training counts over all blocks."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
+        code, self.packs, counts = defaultdict(count().__next__), [], []
+        for batch in batches:
+            for block, part, (sizes, data, times) in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "arrays")), strict=True):
+                data = zstandard.ZstdDecompressor().decompress(data)
+                own = [data[a:b] for a, b in pairwise(offsets(unpacked(sizes)).tolist())]
+                self.packs.append((block, part, np.fromiter(map(code.__getitem__, own), np.uint32, len(own))))
+                counts.append(unpacked(times))
+        self.words, self.counts = list(code), np.zeros(len(code), np.int64)
+        for (_, _, at), times in zip(self.packs, counts, strict=True):
+            self.counts[at] += times  # a block's words are distinct
+
+    def slices(self, known: bool, size: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``flat_bytes`` of the words, or of those met in training, each as a text."""
+        listed = [w for w, n in zip(self.words, self.counts.tolist(), strict=True) if n] if known else self.words
+        for at in range(0, len(listed), size):
+            yield flat_bytes([[w] for w in listed[at : at + size]])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, n): kind 0: tokens, distinct words and words met once and twice of the share; 1: byte sequences of its training words."""
+    share = Share(batches)
+    keys = np.arange(4)
+    totals = np.array([share.counts.sum(), (share.counts > 0).sum(), (share.counts == 1).sum(), (share.counts == 2).sum()])
+    held = [_summed(code := grams(flat, place), np.ones(len(code), np.int64)) for flat, _, place in share.slices(True)]
+    grown = _summed(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.empty(0, np.int64),) * 2
+    for kind, (key, n) in enumerate(((keys, totals), grown)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
 
 
 @dataclass
@@ -172,7 +237,7 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: fl
 
 
 def train(counts: DataFrame, p_min: float = P_MIN, least: int = LEAST) -> Tree | None:
-    """The tree from ``counted``'s byte sequences; None without any.
+    """The tree of byte contexts from ``_totals``; None without any.
 
     Candidates are contexts with at least a share ``p_min`` of all bytes, so there are at most 1 / p_min of each length
     and what reaches the driver is bounded.
@@ -193,79 +258,197 @@ def train(counts: DataFrame, p_min: float = P_MIN, least: int = LEAST) -> Tree |
     return grow([(ctx[x], b[x], n[x].astype(float)) for x in at]) if at[0].any() else None
 
 
-def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
+@dataclass
+class Totals:
+    """What all blocks share: training texts, tokens with end marks, distinct tokens, words met once and twice, shares."""
+
+    texts: int
+    tokens: int
+    distinct: int
+    once: int
+    twice: int
+    shares: int
+
+    @property
+    def discount(self) -> float:
+        return self.once / max(1, self.once + 2 * self.twice)
+
+    @property
+    def hot(self) -> int:
+        return max(1, -(-self.tokens // HOT))
+
+    def empty(self, times: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """Probability in the empty context, from counts and log10 probabilities of spellings.
+
+        Each count yields the discount to the spellings, which share the sum, or one where that is less.
+        """
+        freed = self.discount * self.distinct
+        return (np.maximum(times - self.discount, 0) + max(freed, 1.0) * 10.0**spelt) / (self.tokens - freed + max(freed, 1.0))
+
+
+def spelling(tree: Tree | None, flat: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """log10 probability of each text of ``flat_bytes``; without a tree bytes are uniform."""
+    p = tree.score(flat, place) if tree is not None else np.full(len(flat), -np.log10(256.0))
+    return np.add.reduceat(p, at[:-1])
+
+
+def _answers(tree: Tree | None):
+    """A share's words back to their places: number in the share, training count and spelling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = Share(batches)
+        spelt = np.concatenate([*(spelling(tree, *x) for x in share.slices(False)), np.empty(0)]).astype("<f4")
+        for block, part, at in share.packs:
+            yield _row(block, 0, part, len(at), [packed(at), packed(share.counts[at], 8), packed(spelt[at].view("<u4"))], None)
+
+    return run
+
+
+class Block:
+    """The tokens of a block's texts and its distinct pairs of a token and the one before it."""
+
+    def __init__(self, texts: pa.Table, answers: list[dict], t: Totals, tree: Tree | None) -> None:
+        texts = texts.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist()
+        shares = unpacked(texts[0]["arrays"][0]).astype(np.int64)
+        place, m = np.argsort(shares, kind="stable"), len(shares)
+        at, times, spelt = ([unpacked(a["arrays"][i], width) for a in answers] for i, width in enumerate((4, 8, 4)))
+        # the end mark is the last code; it is spelt as the word without letters
+        self.word, self.times, self.spelt = np.zeros(m + 1, np.int64), np.full(m + 1, t.texts, np.int64), np.empty(m + 1)
+        self.word[-1], self.spelt[-1] = t.shares << 40, spelling(tree, *flat_bytes([[]]))[0]
+        if m:
+            self.word[place] = (shares[place] << 40) + np.concatenate(at)
+            self.times[place] = np.concatenate(times).astype(np.int64)
+            self.spelt[place] = np.concatenate(spelt).view("<f4")
+        self.p = t.empty(self.times, self.spelt)
+        self.ids = [i for r in texts[1:] for i in r["ids"]]
+        sizes, codes, learn = (np.concatenate([unpacked(r["arrays"][i]) for r in texts[1:]]).astype(np.int64) for i in range(3))
+        self.bounds = offsets(sizes + 1)
+        self.code = np.empty(int(self.bounds[-1]), np.int64)
+        end = np.zeros(len(self.code), bool)
+        end[self.bounds[1:] - 1] = True
+        self.code[end], self.code[~end] = m, codes
+        pairs, self.pair = np.unique(np.append(m, self.code[:-1]) * (m + 1) + self.code, return_inverse=True)
+        self.before, self.after = pairs // (m + 1), pairs % (m + 1)
+        self.learnt = np.bincount(self.pair, np.repeat(learn, sizes + 1), len(pairs)).astype(np.int64)
+        # pairs whose first token occurs in training, by share, then by context; runs of one context
+        asked = np.flatnonzero(self.times[self.before] > 0)
+        a, b = (mixed(self.word[x[asked]].astype(np.uint64)) for x in (self.before, self.after))
+        share = (np.where(self.times[self.before[asked]] >= t.hot, mixed(a ^ (b + np.uint64(1))), a) % np.uint64(t.shares)).astype(np.int64)
+        order = np.lexsort((self.word[self.after[asked]], self.word[self.before[asked]], share))
+        self.asked, self.share = asked[order], share[order]
+        new = np.append(True, (np.diff(self.share) != 0) | (np.diff(self.before[self.asked]) != 0))[: len(self.asked)]
+        self.run = np.flatnonzero(new)
+        self.runs = np.diff(np.append(self.run, len(self.asked)))
+
+    def asks(self, block: int) -> Iterator[pa.RecordBatch]:
+        """For each share its contexts (words, counts, lengths of runs), next words, training counts and surprise in the empty context."""
+        surprise = np.minimum(np.rint(-8 * np.log(self.p)), 65535)
+        edges = np.append(np.flatnonzero(np.diff(self.share)) + 1, len(self.asked)) if len(self.asked) else ()
+        a = 0
+        for b in edges:
+            mine, runs = self.asked[a:b], slice(*np.searchsorted(self.run, (a, b)))
+            first = self.before[self.asked[self.run[runs]]]
+            after = self.after[mine]
+            arrays = [packed(self.word[first], 8), packed(self.times[first], 8), packed(self.runs[runs]), packed(self.word[after], 8), packed(self.learnt[mine]), packed(surprise[after])]
+            yield _row(block, 1, int(self.share[a]), len(mine), arrays, None)
+            a = b
+
+    def scores(self, counts: list[np.ndarray], stays: list[np.ndarray], hot: dict[int, bool], t: Totals) -> pa.Table:
+        times, stay = np.zeros(len(self.before)), np.zeros(len(self.before), bool)
+        if len(self.asked):
+            times[self.asked], stay[self.asked] = np.concatenate(counts), np.repeat(np.concatenate(stays) > 0, self.runs)
+            common = np.flatnonzero(self.times[self.before] >= t.hot)
+            stay[common] = [hot.get(w, False) for w in self.word[self.before[common]].tolist()]
+        empty = self.p[self.after]
+        p = np.where(stay, (times + WORD_KEEP * empty) / (self.times[self.before] + WORD_KEEP), empty)
+        sums = [np.add.reduceat(x, self.bounds[:-1]) for x in (np.log10(p)[self.pair], np.log10(self.times + 0.1)[self.code], (self.times > 0).astype(np.int64)[self.code])]
+        n = np.diff(self.bounds)
+        base = sums[1] - n * np.log10(t.tokens + 0.1 * (t.distinct + 1))
+        return pa.table([pa.array(self.ids, pa.int64()), pa.array(n), pa.array(sums[2]), pa.array(base), pa.array(sums[0])], names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _tested(t: Totals, gain: float):
+    """A share of the pairs: counts over all blocks, and whether each context stays; for hot contexts the part of the gain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs, fields = [], ([], [], [], [], [], [])
+        for batch in batches:
+            for block, part, arrays in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "arrays")), strict=True):
+                got = [unpacked(x, w) for x, w in zip(arrays, (8, 8, 4, 8, 4, 4), strict=True)]
+                packs.append((block, part, len(got[2]), len(got[3])))
+                for held, x in zip(fields, got, strict=True):
+                    held.append(x)
+        if not packs:
+            return
+        context, met, runs, after, learnt, surprise = map(np.concatenate, fields)
+        contexts, first, at = np.unique(context, return_index=True, return_inverse=True)
+        met = met[first].astype(float)
+        nexts, after = np.unique(after, return_inverse=True)
+        pairs, first, pair = np.unique(np.repeat(at, runs.astype(np.int64)) * len(nexts) + after, return_index=True, return_inverse=True)
+        times = np.bincount(pair, learnt, len(pairs))
+        log_p, of, some = surprise[first].astype(float) / -8, pairs // len(nexts), times > 0
+        left = (times[some] - 1 + WORD_KEEP * np.exp(log_p[some])) / (met[of[some]] - 1 + WORD_KEEP)
+        gains = np.bincount(of[some], times[some] * (np.log(left) - log_p[some]), len(contexts))
+        stays, i, j = gains > gain, 0, 0
+        for block, part, n_runs, n in packs:
+            yield _row(block, 1, part, None, [packed(times[pair[j : j + n]], 8), packed(stays[at[i : i + n_runs]])], None)
+            i, j = i + n_runs, j + n
+        for k in np.flatnonzero(met >= t.hot).tolist():
+            yield _row(-1, 2, 0, int(contexts[k]), [np.array(gains[k], "<f8").tobytes()], None)
+
+    return run
+
+
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", shares: int | None = None, block_words: int = BLOCK_WORDS, gain: float = GAIN) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score, score, scores as log10.
 
-    ``training``: the rows, with the same columns, to learn from. Null and blank texts are the end token alone. The
-    base is the smoothed count of each word and the end; words are told apart by 64-bit hashes. Repeated rows repeat,
-    null ids stay null; without training texts known counts are 0 and bytes are uniform; no documents give no rows.
-    The ``table_words`` most common words at the most are held by each worker; the rest of a larger vocabulary is
-    joined by hash, with the same result.
+    ``learn``: which rows to learn from (null: not). Null and blank texts are the end mark alone. The base is the
+    smoothed count of each word and the end. Repeated rows repeat, null ids stay null; without training texts known
+    counts are 0 and bytes are uniform; no documents give no rows; other columns are not read. A context stays if its
+    gain is above ``gain`` nats. Blocks are written to the checkpoint folder; their size and ``shares`` change no result
+    but for the last digits.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = checkpointed(counted(training.select(F.col(text_col).cast("string").alias("text"))))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("string").alias("text"))
+    shares = shares or share_count(d)
+    cut = bucketed(mapped(d, _cut(shares, block_words), BLOCKS), shares)
+    dealt = cut.where("kind = 0").select("block", "part", "arrays").repartitionById(shares, F.col("part"))
+    counts = checkpointed(mapped(dealt, _totals, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    texts = cut.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    got = {r.key: r.n for r in counts.where("kind = 0").collect()}  # four rows
+    t = Totals(texts, got.get(0, 0) + texts, got.get(1, 0) + (texts > 0), got.get(2, 0), got.get(3, 0), shares)
     tree = train(counts)
-    vocabulary = counts.where("kind = 0").select(F.col("key").alias("h"), "n")
-    sizes = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *[F.count_if(F.col("n") >= 2**k).alias(str(k)) for k in range(40)]).first()
-    ends = training.count()
-    n_train, distinct = int(sizes[0]) + ends, int(sizes[1]) + (ends > 0)
-    least = next((2**k for k in range(40) if sizes[k + 2] <= table_words), 2**40)
-    got = vocabulary.where(F.col("n") >= least).toArrow()
-    order = np.argsort(got.column("h").to_numpy())
-    held = spark.sparkContext.broadcast((got.column("h").to_numpy()[order], got.column("n").to_numpy()[order].astype(np.uint32 if n_train < 1 << 32 else np.int64), tree))
-    bottom = np.log10(n_train + 0.1 * (distinct + 1))
-    weight = max(1.0, SPELLING * (sizes[2] - sizes[3]))
-    top = np.log10(n_train + weight)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, model = held.value
-        for whole in batches:
-            for batch in rows(whole, 250):
-                split = [words(t) for t in text_bytes(batch.column(1))]
-                at = offsets(np.fromiter(map(len, split), np.int64, len(split)))
-                seen: dict[bytes, int] = {}
-                for ws in split:
-                    seen.update(dict.fromkeys(ws))
-                seen = dict(zip(seen, range(len(seen)), strict=True))
-                h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in seen), np.uint64, len(seen)).view(np.int64)
-                where = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                hit = known[where] == h if len(known) else np.zeros(len(h), bool)
-                c = np.zeros(len(h) + 1)
-                c[:-1][hit] = count[where[hit]]
-                code = np.fromiter((seen[w] for ws in split for w in ws), np.int64, at[-1])
-                value = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.1)[code])])
-                base = value[at[1:]] - value[at[:-1]] + np.log10(ends + 0.1) - (np.diff(at) + 1) * bottom
-                met = np.concatenate([[0], np.cumsum((c > 0)[code])])
-                flat, _, place = flat_bytes(split)
-                p = model.score(flat, place) if model is not None else np.full(len(flat), -np.log10(256.0))
-                # tokens follow each other in the bytes: a word and its space, in the end the end mark
-                size = np.ones(at[-1] + len(split), np.int64)
-                is_end = np.zeros(len(size), bool)
-                is_end[at[1:] + np.arange(len(split))] = True
-                size[~is_end] += np.fromiter((len(w) for ws in split for w in ws), np.int64, at[-1])
-                p = np.add.reduceat(p, offsets(size)[:-1])
-                times = np.empty(len(size))
-                times[is_end], times[~is_end] = ends, c[code]
-                spelt = weight * 10.0**p
-                value = np.concatenate([[0.0], np.cumsum(np.log10(times + spelt) - top)])
-                to = np.append(0, np.flatnonzero(is_end) + 1)
-                rest = []
-                if least > 1:
-                    missing, spelt = ~hit[code], spelt[~is_end]
-                    rest = [[{"h": x, "spelt": y} for x, y in zip(h[code[a:b]][missing[a:b]].tolist(), spelt[a:b][missing[a:b]].tolist(), strict=True)] for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at) + 1), pa.array(met[at[1:]] - met[at[:-1]] + (ends > 0)), pa.array(base), pa.array(value[to[1:]] - value[to[:-1]]), pa.array(rest or [None] * len(split), REST)], names=["id", "n_tokens", "n_known", "base_score", "score", "rest"])
-
-    scored = d.mapInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double, rest array<struct<h: long, spelt: double>>")
-    if least > 1:
-        scored = checkpointed(scored.withColumn("row", F.monotonically_increasing_id()))
-        wanted = scored.select("row", F.explode("rest").alias("r")).select("row", "r.h", "r.spelt")
-        more = wanted.join(vocabulary.where(F.col("n") < least), "h").groupBy("row").agg(F.count("*").alias("met"), F.sum(F.log10(F.col("n") + 0.1) + 1).alias("base"), F.sum(F.log10(F.col("n") + F.col("spelt")) - F.log10("spelt")).alias("gain"))
-        scored = scored.join(more, "row", "left").withColumns({k: F.col(k) + F.coalesce(v, F.lit(0)) for k, v in (("n_known", "met"), ("base_score", "base"), ("score", "gain"))})
-    return scored.select("id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    found = bucketed(mapped(dealt, lambda batches: _answers(sent.value)(batches), BLOCKS), shares)
+    placed = cut.where("kind > 0")
+
+    def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(texts, answers.sort_by("part").to_pylist(), t, sent.value)
+        out = pa.Table.from_batches(block.asks(texts.column("block")[0].as_py()), pa.schema(list(zip(NAMES, TYPES, strict=True))))
+        release()
+        return out
+
+    asked = placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(ask, BLOCKS)
+    tested = bucketed(mapped(asked.select("block", "part", "arrays").repartitionById(shares, F.col("part")), _tested(t, gain), BLOCKS), shares)
+    part_gains = tested.where("kind = 2").select("n", F.col("arrays")[0].alias("x")).toArrow()  # at most HOT contexts a share
+    hot: dict[int, float] = defaultdict(float)
+    for w, x in zip(part_gains.column("n").to_pylist(), part_gains.column("x").to_pylist(), strict=True):
+        hot[w] += np.frombuffer(x, "<f8")[0]
+    hot = {w: bool(x > gain) for w, x in hot.items()}
+
+    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist()
+        block = Block(texts, [a for a in answers if a["kind"] == 0], t, sent.value)
+        pairs = [a["arrays"] for a in answers if a["kind"] == 1]
+        out = block.scores([unpacked(x[0], 8) for x in pairs], [unpacked(x[1]) for x in pairs], hot, t)
+        release()
+        return out
+
+    answers = found.unionByName(tested.where("kind = 1"))
+    scored = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("id", "n_tokens", "n_known", F.lit(t.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    d = score_texts(docs, docs.where(fold("doc_id", 10) != 0))
+    """Score of every whole text of ``documents``, learnt from those of all folds but 0; odd rows as in ``score_texts``."""
+    d = score_texts(read(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
     return d.select(F.col("id").alias("doc_id"), (fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
