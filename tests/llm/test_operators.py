@@ -224,6 +224,48 @@ def test_base_scores_and_tail_path(spark, docs, none):
     assert suffix_tree.score_texts(docs, F.lit(False)).where("n_known = 0 and train_tokens = 0").count() == len(ODD)
 
 
+def test_scores_by_brute_force(spark):
+    """Counts, the test of contexts and the mixture over again, text by text."""
+    T = suffix_tree
+    rng = np.random.default_rng(11)
+    names = [f"w{chr(97 + i % 26)}{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        x = [rng.choice(names)]
+        for _ in range(rng.integers(0, 40)):  # what follows the first ten words is nearly fixed
+            k = names.index(x[-1])
+            x.append(names[(k * 7) % 60] if k < 10 and rng.random() < 0.8 else rng.choice(names))
+        texts.append(x + [f"rare{len(texts)}"] * (len(texts) % 3 == 0))
+    train = texts[:110]
+    c = Counter(w for x in train for w in [*x, ""])
+    pairs = Counter(p for x in train for p in zip(["", *x], [*x, ""], strict=True))
+    once, twice = (sum(n == k for w, n in c.items() if w) for k in (1, 2))
+    flat, _, place = T.flat_bytes([[w.encode()] for w in sorted(c) if w])
+    codes, n = T._summed(T.grams(flat, place), np.ones(len(flat), np.int64))
+    tree = T.train(spark.createDataFrame([(1, int(k), int(m)) for k, m in zip(codes, n, strict=True)], "kind int, key long, n long"))
+    total, d, v = sum(c.values()), once / (once + 2 * twice), len(c)
+
+    def empty(w):
+        s = 10 ** T.spelling(tree, *T.flat_bytes([[w.encode()] if w else []]))[0]
+        return (max(c[w] - d, 0) + max(d * v, 1) * s) / (total - d * v + max(d * v, 1))
+
+    gains = Counter()
+    for (a, b), n in pairs.items():
+        p = math.exp(-round(-8 * math.log(empty(b))) / 8)
+        gains[a] += n * math.log((n - 1 + T.WORD_KEEP * p) / (c[a] - 1 + T.WORD_KEEP) / p)
+    stays = {a for a, g in gains.items() if g > T.GAIN}
+    assert 5 < len(stays) < 40
+
+    def score(x):
+        return sum(math.log10((pairs[a, b] + T.WORD_KEEP * empty(b)) / (c[a] + T.WORD_KEEP) if a in stays else empty(b)) for a, b in zip(["", *x], [*x, ""], strict=True))
+
+    want = [score(x) for x in texts]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    for shares, size in ((None, T.BLOCK_WORDS), (3, 50)):
+        got = {r.id: r.score for r in T.score_texts(df, F.col("doc_id") < 110, shares=shares, block_words=size).collect()}
+        assert [got[i] for i in range(150)] == pytest.approx(want, rel=1e-5)
+
+
 def test_tree_uses_the_longest_context_and_sums_to_one():
     text = b"abcabcabdabcabcabd" * 200
     flat, at, place = suffix_tree.flat_bytes([[text]])

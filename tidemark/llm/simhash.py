@@ -189,21 +189,21 @@ def connected(edges: DataFrame, limit: int = 200) -> DataFrame:
     Each round hooks every node to its least neighbour, redraws the links between those and drops what has become a
     loop. All groupings are partial sums first and joins have one row per key on one side, so hubs can be split.
     """
-    labels, e = None, checkpointed(edges.select("a", "b").where("a <> b"))
-    for _ in range(limit):
-        if e.isEmpty():
-            break
+    hooks, e = [], checkpointed(edges.select("a", "b").where("a <> b"))
+    while not e.isEmpty():
+        if len(hooks) == limit:
+            raise RuntimeError(f"links still change after {limit} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
         a, b = (hook.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
         e = checkpointed(e.join(a, "a").join(b, "b").select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).where("a <> b").distinct())
-        if labels is None:
-            labels = hook.select("node", F.col("to").alias("root"))
-        else:
-            labels = checkpointed(labels.join(hook.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-    else:
-        raise RuntimeError(f"links still change after {limit} rounds")
-    return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        hooks.append(hook)
+    if not hooks:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    labels = hooks[0].withColumnRenamed("to", "root")
+    for hook in hooks[1:]:
+        labels = labels.join(hook.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return checkpointed(labels)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, **sizes: int) -> DataFrame:
