@@ -65,6 +65,35 @@ def test_topk_stops_early_and_is_exact_for_large_numbers():
     assert at.tolist() == [1] and score.tolist() == [3 * 2**60 + 2]
 
 
+def test_topk_ships_no_copies_of_query_blocks(spark):
+    rng = np.random.default_rng(4)
+    v = [[int(x) for x in r] for r in rng.integers(-50, 50, (600, 3))]
+    v[7], v[450], v[500] = [2**30, -(2**29), 5], [2**31, 3], [2**30 - 1] * 5  # beyond exact floats, and of other lengths
+    c = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<long>")
+    d = topk.topk_inner_product(c, c.where("id % 50 = 0"), block_rows=20, query_rows=4, group=3)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # pairs of blocks met before, read in place
+    want = []
+    for q in range(0, 600, 50):
+        best = sorted((-sum(x * y for x, y in zip(v[q], w, strict=False)), i) for i, w in enumerate(v) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert table(d, "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
+
+
+def test_topk_carries_its_threshold_from_block_to_block():
+    rng = np.random.default_rng(5)
+    q, best, taken = rng.integers(1, 9, (6, 4)).astype(np.float32), [np.full((6, 2), -np.inf), np.full((6, 2), 10**9)], []
+    m = np.concatenate([rng.integers(50, 60, (300, 4)), rng.integers(-50, 9, (300, 4))]).astype(np.float32)
+    ids = rng.permutation(600)
+    for at in (0, 300):
+        part = m[at : at + 300]
+        block = topk.listed(part, np.argsort(part, axis=0, kind="stable").T, ids[at : at + 300])
+        taken.append(topk.threshold_search(q, np.full(6, -1), best, block, 16))
+    order = [np.lexsort((ids, -(m @ x)))[:2] for x in q]
+    assert best[1].tolist() == [ids[o].tolist() for o in order] and best[0].tolist() == [(m[o] @ x).tolist() for x, o in zip(q, order, strict=True)]
+    assert taken[0] > 0 and taken[1] == 0
+
+
 # BPE
 
 

@@ -1,22 +1,26 @@
 """Exact top-k search by inner product with Fagin's threshold algorithm.
 
-Candidates are dealt into bounded blocks. Each block carries one sorted list per dimension. A query reads the lists
-of a block from the end that its sign favours, scores rows as they turn up, and stops as soon as the bound on rows
-not yet seen is below its kth score. The blocks' results meet in one ranking per query, limited before the shuffle.
+Candidates are dealt into bounded blocks, each with one sorted list per dimension. A block of queries reads the lists of
+a block of candidates from both ends at once, scores rows as they turn up, and a query stops as soon as the bound on rows
+not yet seen is below its kth score, which it carries from block to block. Parts of packed blocks meet part by part, read
+from the checkpoint folder; what is shuffled is a part's k best per query, never copies of query blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import read
+from ._common import checkpointed, mapped, read
 
 LONG = np.iinfo(np.int64)
+CHUNK = 4096
+TASKS = 2000
 
 
 def scaled(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -31,124 +35,168 @@ def scaled(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFr
     return kept.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _matrix(vectors: list, dim: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dim), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def _matrix(vectors: list[pa.Array]) -> np.ndarray:
+    """The vectors as rows, padded with zeros, as 16-bit integers where all fit."""
+    length = np.concatenate([v.value_lengths().to_numpy(zero_copy_only=False) for v in vectors])
+    flat = np.concatenate([v.flatten().to_numpy() for v in vectors])
+    dim = int(length.max(initial=0))
+    small = not len(flat) or -(2**15) <= flat.min() and flat.max() < 2**15
+    out = np.zeros((len(length), dim), np.int16 if small else np.int64)
+    out[np.arange(dim) < length[:, None]] = flat
     return out
 
 
-def _pack(with_lists: bool):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, vs = None, [], []
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, id, v) sorted by block to a packed row per block."""
+    block, ids, vs = None, [], []
 
-        def out() -> pa.RecordBatch:
-            dim = max(map(len, vs))
-            m = _matrix(vs, dim)
-            by = np.argsort(m, axis=0, kind="stable").astype(np.int32).T.tobytes() if with_lists else b""
-            return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary()), "lists": pa.array([by], pa.binary())})
+    def out() -> pa.RecordBatch:
+        m = _matrix(vs)
+        return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "dim": pa.array([m.shape[1]], pa.int32()), "width": pa.array([m.itemsize], pa.int32()), "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary())})
 
-        for batch in batches:
-            for b, i, v in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "v")), strict=True):
-                if b != block and ids:
-                    yield out()
-                    ids, vs = [], []
-                block = b
-                ids.append(i)
-                vs.append(v)
-        if ids:
-            yield out()
-
-    return pack
+    for batch in batches:
+        b = batch.column("block").to_numpy()
+        for at, end in pairwise([0, *(np.flatnonzero(b[1:] != b[:-1]) + 1), len(b)] if len(b) else []):
+            if b[at] != block and ids:
+                yield out()
+                ids, vs = [], []
+            block = int(b[at])
+            ids.append(batch.column("id").to_numpy()[at:end])
+            vs.append(batch.column("v").slice(at, end - at))
+    if ids:
+        yield out()
 
 
-PACKED = "block long, dim int, ids binary, m binary, lists binary"
+PACKED = "block long, dim int, width int, ids binary, m binary"
 
 
-def blocks(df: DataFrame, n: int, with_lists: bool) -> DataFrame:
-    """``df`` of (id, v) as one packed row for each of ``n`` blocks."""
+def blocks(df: DataFrame, n: int, parts: int) -> DataFrame:
+    """``df`` of (id, v) as one packed row for each of ``n`` blocks, written in ``parts`` partitions."""
     dealt = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
-    return dealt.repartition(max(1, min(n, 2000)), "block").sortWithinPartitions("block", "id").mapInArrow(_pack(with_lists), PACKED)
+    return checkpointed(mapped(dealt.repartition(parts, "block").sortWithinPartitions("block"), _pack, PACKED).coalesce(parts))
+
+
+def listed(m: np.ndarray, lists: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ids and rows of ``m`` in the order in which the lists show them, read from both ends; each row's depth; the values
+    that the lists have at each depth from the top and from the bottom."""
+    n = len(ids)
+    place = np.empty_like(lists)
+    np.put_along_axis(place, lists, np.arange(n, dtype=lists.dtype)[None], axis=1)
+    depth = np.minimum(place, n - 1 - place).min(axis=0, initial=n - 1)
+    order, low = np.argsort(depth, kind="stable"), np.take_along_axis(m, lists.T, axis=0)
+    return ids[order], m[order], depth[order], low[::-1], low
+
+
+def _merge(best: list[np.ndarray], at: np.ndarray, own: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    """Puts what ``scores`` (queries ``at`` by rows ``ids``) has among the k best of these queries into ``best``."""
+    s, i = best
+    some = np.flatnonzero(scores.max(axis=1) >= s[at, -1])
+    x, y = np.nonzero(scores[some] >= s[at[some], -1:])
+    x, found, vec = at[some][x], scores[some[x], y], ids[y]
+    new = (vec != own[x]) & ((found > s[x, -1]) | (vec < i[x, -1]))
+    x, found, vec = x[new], found[new], vec[new]
+    qs, k = np.unique(x), s.shape[1]
+    x, found, vec = np.concatenate([x, np.repeat(qs, k)]), np.concatenate([found, s[qs].ravel()]), np.concatenate([vec, i[qs].ravel()])
+    order = np.lexsort((vec, -found, x))
+    order = order[np.searchsorted(x[order], qs)[:, None] + np.arange(k)]
+    s[qs], i[qs] = found[order], vec[order]
+
+
+def threshold_search(q: np.ndarray, own: np.ndarray, best: list[np.ndarray], block: tuple[np.ndarray, ...], first: int = 64) -> int:
+    """Brings ``best`` (scores and ids, a row of k for each query, best first) up to date with a block as ``listed`` has it.
+
+    All numbers are floats that are exact integers, or Python integers. Rows may be unseen only while the bound is below
+    the kth score, so ties are never missed. Returns how many scores were taken.
+    """
+    ids, m, depth, high, low = block
+    at, p, step, taken = np.arange(len(q)), 0, first, 0
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    while p < len(ids):
+        at = at[up[at] @ high[depth[p]] + down[at] @ low[depth[p]] >= best[0][at, -1]]
+        if not len(at):
+            break
+        to = min(len(ids), p + step)
+        _merge(best, at, own, q[at] @ m[p:to].T, ids[p:to])
+        taken += len(at) * (to - p)
+        p, step = to, min(2 * step, CHUNK)
+    return taken
+
+
+def _none(n: int, k: int) -> list[np.ndarray]:
+    return [np.full((n, k), -np.inf), np.full((n, k), LONG.max)]
+
+
+def _exact(score: np.ndarray) -> np.ndarray:
+    """Python's integers for floats that are integers."""
+    return np.array([[int(x) if np.isfinite(x) else x for x in row] for row in score], object).reshape(score.shape)
 
 
 def threshold_topk(q: np.ndarray, own: int, m: np.ndarray, lists: np.ndarray, ids: np.ndarray, k: int, first: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Positions and scores of the k best rows of ``m`` for ``q``, ties to smaller ids; the row of id ``own`` is left out.
 
-    ``lists``: for each dimension the rows in ascending order. ``m`` and ``q`` hold floats that are exact integers, or
-    Python integers. A row may be unseen only while the bound is below the kth score, so ties are never missed.
+    ``lists``: for each dimension the rows in ascending order.
     """
-    n, dims = len(m), np.flatnonzero(q != 0)
-    up = q[dims] > 0
-    seen = ids == own
-    best, score, depth, step = np.empty(0, np.int64), np.empty(0, m.dtype), 0, first
-    while True:
-        to = min(n, depth + step)
-        if len(dims):
-            new = np.zeros(n, bool)
-            new[lists[dims[up], n - to : n - depth].ravel()] = True
-            new[lists[dims[~up], depth:to].ravel()] = True
-            new &= ~seen
-        else:
-            new, to = ~seen, n
-        seen |= new
-        at = np.flatnonzero(new)
-        best, score = np.concatenate([best, at]), np.concatenate([score, m[at] @ q])
-        if len(best) > k:
-            cut = np.lexsort((ids[best], -score))[:k]
-            best, score = best[cut], score[cut]
-        depth, step = to, step * 2
-        if depth >= n:
-            break
-        if len(best) == k:
-            last = np.where(up, lists[dims, n - depth], lists[dims, depth - 1])
-            if (q[dims] * m[last, dims]).sum() < score.min():
-                break
-    order = np.lexsort((ids[best], -score))
-    return best[order], score[order]
+    best = _none(1, k)
+    best[0] = best[0].astype(m.dtype)
+    threshold_search(q[None], np.array([own]), best, listed(m, lists, ids), first)
+    there = (best[0][0] > -np.inf).astype(bool)
+    place = np.argsort(ids, kind="stable")
+    return place[np.searchsorted(ids[place], best[1][0][there])], best[0][0][there]
 
 
 def _search(k: int):
-    def load(block: dict, p: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(block[p + "ids"], np.int64)
-        m = np.frombuffer(block[p + "m"], np.int64).reshape(len(ids), -1) if block[p + "dim"] else np.zeros((len(ids), 0), np.int64)
-        return ids, np.pad(m, ((0, 0), (0, dim - m.shape[1])))
+    def load(batch: pa.RecordBatch, r: int, p: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(batch.column(p + "ids")[r].as_buffer(), np.int64)
+        width, dim = (batch.column(p + c)[r].as_py() for c in ("width", "dim"))
+        return ids, np.frombuffer(batch.column(p + "m")[r].as_buffer(), f"<i{width}").reshape(len(ids), dim)
+
+    def most(m: np.ndarray) -> int:
+        return max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict[int, tuple] = {}
+        block = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                pair = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                dim = max(pair["q_dim"], pair["dim"])
-                qids, q = load(pair, "q_", dim)
-                ids, m = load(pair, "", dim)
-                lists = np.zeros((dim, len(ids)), np.int32) + np.arange(len(ids), dtype=np.int32)
-                lists[: pair["dim"]] = np.frombuffer(pair["lists"], np.int32).reshape(pair["dim"], len(ids))
-                top = max(dim, 1) * (abs(int(q.max(initial=0))) + abs(int(q.min(initial=0)))) * (abs(int(m.max(initial=0))) + abs(int(m.min(initial=0))))
-                kind = np.float64 if top < 2**53 else object  # beyond that, only Python's integers are exact
-                q, m = q.astype(kind), m.astype(kind)
-                found: tuple[list, list, list] = ([], [], [])
-                for own, x in zip(qids, q, strict=True):
-                    at, score = threshold_topk(x, own, m, lists, ids, k)
-                    found[0].append(np.full(len(at), own))
-                    found[1].append(ids[at])
-                    found[2].append(np.array([min(max(int(s), LONG.min), LONG.max) for s in score], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+            for r, (b, of) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "q_block")), strict=True)):
+                if of not in queries:
+                    own, q = load(batch, r, "q_")
+                    queries[of] = own.copy(), q.copy(), most(q), _none(len(own), k)
+                if b != block:
+                    block, (ids, m), kinds = b, load(batch, r, ""), {}
+                    lists, largest = np.argsort(np.ascontiguousarray(m.T), axis=1, kind="stable"), most(m)
+                own, q, q_largest, best = queries[of]
+                dim = min(q.shape[1], m.shape[1])  # what one side lacks is zero
+                top = dim * q_largest * largest
+                kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else object  # beyond, floats are not exact
+                if (kind, dim) not in kinds:
+                    kinds[kind, dim] = listed(m[:, :dim].astype(kind), lists[:dim], ids)
+                if kind is object and best[0].dtype != object:
+                    best[0] = _exact(best[0])
+                threshold_search(q[:, :dim].astype(kind), own, best, kinds[kind, dim])
+        for own, _, _, (score, ids) in queries.values():
+            there = (score > -np.inf).astype(bool)
+            score = score[there] if score.dtype != object else np.array([min(max(x, LONG.min), LONG.max) for x in score[there]], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.repeat(own, there.sum(axis=1)), ids[there], score.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     return search
 
 
-def topk_inner_product(candidates: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 2048, query_rows: int = 256, group: int = 4) -> DataFrame:
+def topk_inner_product(candidates: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 8192, query_rows: int = 1024, group: int = 64) -> DataFrame:
     """The k candidates of highest integer inner product for each query: query_id, rank (from 1), vec_id, score.
 
     Both inputs are (id long, v array<long>), one row per id. A candidate with the query's id is left out. Ties go to
     the smaller id; fewer than k candidates give fewer rows; an empty input gives none. Shorter vectors count as
     padded with zeros. Scores beyond long saturate. Every query block meets every candidate block: a query set
-    against all rows, whose pairs of blocks are dealt by groups of ``group`` candidate blocks.
+    against all rows. A task takes ``group`` candidate blocks and 16 query blocks, or more candidate blocks where that
+    would give over ``TASKS`` tasks; it holds one candidate block at a time.
     """
-    n_c, n_q = (-(-df.count() // size) or 1 for df, size in ((candidates, block_rows), (queries, query_rows)))
-    groups = -(-n_c // group)
-    c = blocks(candidates, n_c, True).withColumn("g", F.pmod("block", F.lit(groups))).drop("block")
-    q = blocks(queries, n_q, False).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("g"))
-    found = q.join(c, "g").drop("g").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    rows = candidates.count(), queries.count()
+    n_c, n_q = (max(1, -(-n // size), min(16, -(-n // 512))) for n, size in zip(rows, (block_rows, query_rows), strict=True))
+    q_parts = min(-(-n_q // 16), TASKS)
+    c_parts = min(n_c, max(16, -(-n_c // group)), TASKS // q_parts)
+    q = blocks(queries, n_q, q_parts)
+    c = blocks(candidates, n_c, c_parts).hint("shuffle_replicate_nl")
+    found = checkpointed(mapped(c.crossJoin(q.toDF(*(f"q_{x}" for x in q.columns))), _search(k), "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
