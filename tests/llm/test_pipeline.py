@@ -105,3 +105,27 @@ def test_near_copies_as_by_brute_force(spark, sf):
         assert links == want and len(links) > 10
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+
+
+def test_near_copies_come_from_fingerprints(spark, sf, monkeypatch):
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    base = [f"w{i}" for i in range(400)]
+    texts += [(10**6 + k, " ".join(f"x{k}" if i == 30 * k else w for i, w in enumerate(base))) for k in range(10)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one = simhash.shingled(docs).where("n > 0").select("id", "fp").collect()
+    text, first, files = dict(texts), {i: i for i, _ in texts}, {r.id: r.fp for r in one}
+
+    def joined(of, pairs):
+        for _ in texts:
+            for i, j in pairs:
+                of[i] = of[j] = min(of[i], of[j])
+
+    joined(files, [(r.id, s.id) for k, r in enumerate(one) for s in one[:k] if ((r.fp ^ s.fp) & (2**64 - 1)).bit_count() <= 3])
+    blank = [r for r in first if r not in files]
+    pairs = [(i, j) for k, i in enumerate(files) for j in list(files)[:k] if files[i] == files[j] and _jaccard(text[i], text[j]) >= 0.8]
+    joined(first, pairs + [(blank[0], i) for i in blank[1:]])
+    assert {r.id: r.component_id for r in simhash.near_copies(docs, bands=0).collect()} == first  # by fingerprints alone
+    assert len({i for i, j in pairs if text[i] != text[j]}) > 5
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, bits: asked.append(bits) or links(fps, bits))
+    assert simhash.copies_stage(spark, docs, sf).count() <= len(set(first.values())) and asked == [3]

@@ -67,6 +67,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle and checkpoint files that nothing refers to any more, as it does when the driver's JVM
+    collects garbage; a job of many small steps may end before that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Gives freed memory back to the system: a Python worker outlives its task and would hold it idle."""
     gc.collect()

@@ -5,6 +5,9 @@ three of the six. Each distinct fingerprint is filed under its 20 choices of thr
 fingerprints filed together are compared. Inside a file no pairs are emitted: each of its components is reported as a
 star around its least member. Files beyond ``solve`` fingerprints are cut into chunks, and pairs of chunks are dealt
 out as tasks of their own.
+
+Near copies by their shingles (``near_copies``) take these components as candidates, add those of MinHash bands for pairs
+that no fingerprint of 64 bits brings within three, and check every link on the whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -18,12 +21,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, mapped, masks, read, rows, signed, text_bytes, words
+from ._common import checkpointed, freed, mapped, masks, read, rows, signed, text_bytes, words
 
 SEED = 42
 PIECE = 1 << 16
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the uint64 ``hashes`` have each bit."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PIECE):
+        ones += np.unpackbits(hashes[at : at + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(tokens: list[bytes], shingle: int = 3) -> int:
     """Bit i is 1 if it is set in over half of the shingles' XXH64; no words give 0, fewer than ``shingle`` one shingle."""
     if not tokens:
@@ -35,9 +50,8 @@ def fingerprint(tokens: list[bytes], shingle: int = 3) -> int:
     ends = ends[min(shingle, len(tokens)) - 1 :].tolist()
     h, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, PIECE):
-        x = np.array([h(joined[a:b], SEED) for a, b in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=True)], "<u8")
-        ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += _ones(np.array([h(joined[a:b], SEED) for a, b in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=True)], "<u8"))
+    return _majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -256,13 +270,14 @@ def band_keys(x: np.ndarray, bands: int, width: int) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bands: int = 20, width: int = 3, whole_sets: bool = False) -> DataFrame:
-    """(id, h, cls, n, keys) for each row: ``h`` is the text's hash, ``cls`` tells sets of shingles apart, ``n`` is a set's size; or (cls, shingles)."""
+    """(id, h, cls, n, fp, keys) for each row: ``h`` is the text's hash, ``cls`` tells sets of shingles apart, ``n`` is a
+    set's size, ``fp`` its SimHash fingerprint and ``keys`` are those of its MinHash bands; or (cls, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in rows(whole, 250):
                 seen: dict[bytes, int] = {}
-                cls, n, found = [], [], []
+                cls, n, fp, found = [], [], [], []
                 for text in text_bytes(batch.column(1)):
                     ws = words(text)
                     for w in set(ws).difference(seen):
@@ -270,14 +285,18 @@ def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                     x = shingle_set(np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws)), shingle)
                     cls.append(signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)))
                     n.append(len(x))
-                    found.append(x.tobytes() if whole_sets else band_keys(x, bands, width).view(np.int64))
+                    if whole_sets:
+                        found.append(x.tobytes())
+                    else:
+                        fp.append(signed(_majority(_ones(x), len(x))))
+                        found.append(band_keys(x, bands, width).view(np.int64))
                 cls = pa.array(cls, pa.int64())
                 if whole_sets:
                     yield pa.RecordBatch.from_arrays([cls, pa.array(found, pa.binary())], names=["cls", "shingles"])
                 else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cls, pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "h", "cls", "n", "keys"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cls, pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "h", "cls", "n", "fp", "keys"])
 
-    schema = "cls long, shingles binary" if whole_sets else "id long, h long, cls long, n long, keys array<long>"
+    schema = "cls long, shingles binary" if whole_sets else "id long, h long, cls long, n long, fp long, keys array<long>"
     text = F.col(text_col).cast("string")
     return mapped(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h")), run, schema)
 
@@ -382,8 +401,8 @@ def within_files(open_: DataFrame, sets: DataFrame, threshold: float, members: i
     return mapped(grouped, _compared(threshold), "a long, b long")
 
 
-def shingle_links(classes: DataFrame, sets: DataFrame, threshold: float = 0.8, send: int = 1_000_000) -> DataFrame:
-    """(a, b), enough links between the ``classes`` (cls, n, keys) to connect pairs that share a key and are alike.
+def shingle_links(files: DataFrame, sets: DataFrame, threshold: float = 0.8, send: int = 1_000_000) -> DataFrame:
+    """(a, b), enough links between the classes of ``files`` (cls, n, key) to connect pairs that share a key and are alike.
 
     ``sets`` (cls, shingles) may repeat; those in a file with others are kept, found without a shuffle of all sets
     where there are at most ``send`` of them.
@@ -392,7 +411,6 @@ def shingle_links(classes: DataFrame, sets: DataFrame, threshold: float = 0.8, s
     alone; then what shares a file and is not yet connected is compared pair by pair. So a file of near copies gives
     no square of pairs, and no pair that a file holds is left out.
     """
-    files = classes.select("cls", "n", F.explode("keys").alias("key"))
     several = files.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
     files = checkpointed(files.join(several, "key"))
     wanted = checkpointed(files.select("cls").distinct())
@@ -411,26 +429,41 @@ def shingle_links(classes: DataFrame, sets: DataFrame, threshold: float = 0.8, s
         near = checkpointed(near.unionByName(mapped(pairs.join(x, "a").join(y, "b"), _similar(threshold), "a long, b long")))
         roots = connected(near).withColumnRenamed("node", "cls")
         open_ = checkpointed(files.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+        del roots, pairs, picked
+        freed(files.sparkSession)
     return near.unionByName(checkpointed(within_files(open_, held, threshold).distinct()))
 
 
-def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def fingerprint_files(classes: DataFrame, bits: int = 3) -> DataFrame:
+    """(cls, n, key) for each of the ``classes`` (cls, n, fp): a key for each component of fingerprints that link at ``bits``."""
+    roots = connected(links(classes.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
+    files = checkpointed(classes.join(roots, "fp", "left").select("cls", "n", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("key")))
+    del roots
+    freed(files.sparkSession)
+    return files
+
+
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bits: int = 3, bands: int = 20) -> DataFrame:
     """(id, h, root) for each row: its text's hash and its group of near copies, as ``near_copies`` has them."""
-    f = checkpointed(shingled(docs, id_col, text_col, shingle))
+    f = checkpointed(shingled(docs, id_col, text_col, shingle, bands))
     each = f.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     sets = shingled(docs, id_col, text_col, shingle, whole_sets=True)
-    roots = connected(shingle_links(each, sets, threshold)).withColumnRenamed("node", "cls")
+    files = each.select("cls", "n", F.explode("keys").alias("key"))
+    files = files.unionByName(fingerprint_files(f.where("n > 0").select("cls", "n", "fp").distinct(), bits))
+    roots = connected(shingle_links(files, sets, threshold)).withColumnRenamed("node", "cls")
     return f.select("id", "h", "cls").join(roots, "cls", "left").select("id", "h", F.coalesce("root", "cls").alias("root"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bits: int = 3, bands: int = 20) -> DataFrame:
     """One row per document: id, component_id, the smallest id reachable over pairs whose sets of shingles have a
     Jaccard similarity of ``threshold`` or more. Null and blank texts are alike; null ids as in ``near_duplicates``.
 
-    Candidates share one of 20 bands of three MinHash values: a pair at 0.8 shares none in (1 - 0.8^3)^20 = 6 of 10
-    million cases, and every more similar pair in fewer.
+    Candidates are the components of SimHash fingerprints of the sets that differ in ``bits`` or fewer, found as in
+    ``near_duplicates``. Sets at 0.8 differ in about 10 of 64 bits, so those that share one of the ``bands`` of three
+    MinHash values are candidates too: of 20 a pair at 0.8 shares none in (1 - 0.8^3)^20 = 6 of 10 million cases, and
+    every more similar pair in fewer.
     """
-    g = checkpointed(copy_groups(docs, id_col, text_col, shingle, threshold))
+    g = checkpointed(copy_groups(docs, id_col, text_col, shingle, threshold, bits, bands))
     return g.join(g.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
 
 
@@ -441,7 +474,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, send: int = 1_000_000) -> DataFrame:
-    """``docs`` with one row of each group of ``near_copies``: that of its smallest doc_id.
+    """``docs`` with one row of each group of ``near_copies``: that of its smallest doc_id. The groups come from SimHash
+    fingerprints, blocks of their bits, the Hamming check and components; bands add candidates, whole sets decide.
 
     Rows without an id come after all others of their group. Rows that share an id but belong to different groups are
     decided on each by itself; of a group's rows of that id the text of smallest hash stays, and of rows that repeat both
