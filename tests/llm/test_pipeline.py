@@ -129,3 +129,23 @@ def test_near_copies_come_from_fingerprints(spark, sf, monkeypatch):
     asked, links = [], simhash.links
     monkeypatch.setattr(simhash, "links", lambda fps, bits: asked.append(bits) or links(fps, bits))
     assert simhash.copies_stage(spark, docs, sf).count() <= len(set(first.values())) and asked == [3]
+
+
+def test_near_duplicates_build_no_small_tables_in_the_driver(spark, sf):
+    """Only the broadcast that is asked for: each that Spark chose by itself took some MB of the driver's heap."""
+    docs, key = spark.read.parquet(f"{sf}/documents.parquet"), "spark.sql.autoBroadcastJoinThreshold"
+    store, before = spark._jsparkSession.sharedState().statusStore(), spark.conf.get(key)
+    seen = store.executionsCount()
+    simhash.copies_stage(spark, docs, sf)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(seen, ran.size())]
+    assert len(plans) > 10 and spark.conf.get(key) == before
+    assert sum("BroadcastExchange" in p for p in plans) <= 1
+
+
+def test_fitting_gives_the_drivers_memory_back(spark, sf, monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity, "release", lambda: calls.append(1), raising=False)
+    toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert calls

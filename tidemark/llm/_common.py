@@ -9,7 +9,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from itertools import combinations
 
 import numpy as np
@@ -50,14 +50,24 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """What runs in here sends rows to Python in batches of about ``size``, as buffers of wide rows add up."""
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, size)
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(BATCH, before)
+        spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> AbstractContextManager[None]:
+    """What runs in here sends rows to Python in batches of about ``size``, as buffers of wide rows add up."""
+    return _setting(spark, BATCH, size)
+
+
+def no_small_broadcasts(spark: SparkSession) -> AbstractContextManager[None]:
+    """What runs in here joins by shuffles unless it asks for a broadcast: each small table that Spark would send by
+    itself is built in the driver, and a job of many small steps fills its heap with them."""
+    return _setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, freed, mapped, masks, read, rows, signed, text_bytes, words
+from ._common import checkpointed, freed, mapped, masks, no_small_broadcasts, read, rows, signed, text_bytes, words
 
 SEED = 42
 PIECE = 1 << 16
@@ -197,11 +197,12 @@ def chunk_pairs(parts: DataFrame) -> DataFrame:
     return x.join(y, ["t", "key"]).where("i <= j").repartition(tasks, "t", "key", "i", "j")
 
 
-def connected(edges: DataFrame, limit: int = 200) -> DataFrame:
+def connected(edges: DataFrame, limit: int = 200, free: bool = False) -> DataFrame:
     """(node, root) for each node of the links (a, b): nodes of a component share one root, its least node.
 
     Each round hooks every node to its least neighbour, redraws the links between those and drops what has become a
     loop. All groupings are partial sums first and joins have one row per key on one side, so hubs can be split.
+    With ``free`` the driver collects its garbage after each round.
     """
     hooks, e = [], checkpointed(edges.select("a", "b").where("a <> b"))
     while not e.isEmpty():
@@ -212,6 +213,9 @@ def connected(edges: DataFrame, limit: int = 200) -> DataFrame:
         a, b = (hook.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
         e = checkpointed(e.join(a, "a").join(b, "b").select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).where("a <> b").distinct())
         hooks.append(hook)
+        if free:
+            del both, hook, a, b
+            freed(edges.sparkSession)
     if not hooks:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = hooks[0].withColumnRenamed("to", "root")
@@ -427,7 +431,7 @@ def shingle_links(files: DataFrame, sets: DataFrame, threshold: float = 0.8, sen
         pairs = checkpointed(pairs.join(done, ["a", "b"], "left_anti"))
         done = done.unionByName(pairs)
         near = checkpointed(near.unionByName(mapped(pairs.join(x, "a").join(y, "b"), _similar(threshold), "a long, b long")))
-        roots = connected(near).withColumnRenamed("node", "cls")
+        roots = connected(near, free=True).withColumnRenamed("node", "cls")
         open_ = checkpointed(files.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
         del roots, pairs, picked
         freed(files.sparkSession)
@@ -436,7 +440,7 @@ def shingle_links(files: DataFrame, sets: DataFrame, threshold: float = 0.8, sen
 
 def fingerprint_files(classes: DataFrame, bits: int = 3) -> DataFrame:
     """(cls, n, key) for each of the ``classes`` (cls, n, fp): a key for each component of fingerprints that link at ``bits``."""
-    roots = connected(links(classes.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
+    roots = connected(links(classes.select("fp").distinct(), bits), free=True).withColumnRenamed("node", "fp")
     files = checkpointed(classes.join(roots, "fp", "left").select("cls", "n", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("key")))
     del roots
     freed(files.sparkSession)
@@ -445,12 +449,13 @@ def fingerprint_files(classes: DataFrame, bits: int = 3) -> DataFrame:
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bits: int = 3, bands: int = 20) -> DataFrame:
     """(id, h, root) for each row: its text's hash and its group of near copies, as ``near_copies`` has them."""
-    f = checkpointed(shingled(docs, id_col, text_col, shingle, bands))
-    each = f.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    sets = shingled(docs, id_col, text_col, shingle, whole_sets=True)
-    files = each.select("cls", "n", F.explode("keys").alias("key"))
-    files = files.unionByName(fingerprint_files(f.where("n > 0").select("cls", "n", "fp").distinct(), bits))
-    roots = connected(shingle_links(files, sets, threshold)).withColumnRenamed("node", "cls")
+    with no_small_broadcasts(docs.sparkSession):
+        f = checkpointed(shingled(docs, id_col, text_col, shingle, bands))
+        each = f.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+        sets = shingled(docs, id_col, text_col, shingle, whole_sets=True)
+        files = each.select("cls", "n", F.explode("keys").alias("key"))
+        files = files.unionByName(fingerprint_files(f.where("n > 0").select("cls", "n", "fp").distinct(), bits))
+        roots = connected(shingle_links(files, sets, threshold), free=True).withColumnRenamed("node", "cls")
     return f.select("id", "h", "cls").join(roots, "cls", "left").select("id", "h", F.coalesce("root", "cls").alias("root"))
 
 
@@ -463,7 +468,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     MinHash values are candidates too: of 20 a pair at 0.8 shares none in (1 - 0.8^3)^20 = 6 of 10 million cases, and
     every more similar pair in fewer.
     """
-    g = checkpointed(copy_groups(docs, id_col, text_col, shingle, threshold, bits, bands))
+    with no_small_broadcasts(docs.sparkSession):
+        g = checkpointed(copy_groups(docs, id_col, text_col, shingle, threshold, bits, bands))
     return g.join(g.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
 
 
@@ -483,16 +489,16 @@ def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, send: int =
     are broadcast (a long and a number each); beyond that texts are shuffled by id, with the same result.
     """
     i, h, kept = (f"_{uuid.uuid4().hex}" for _ in range(3))  # no column of ``docs`` has these names
-    each = checkpointed(copy_groups(docs).groupBy("root", "id", "h").agg(F.count("*").alias("n")))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    ranked = each.withColumn("place", place).join(each.groupBy("root").agg(F.min(place).alias("first")), "root")
-
     def name(c: str) -> Column:
         return F.coalesce(F.col(c).cast("long").cast("string"), F.lit("none")).alias(i)
 
-    # rows to look at: all that go, and those that repeat id and text, of which one stays
-    marks = checkpointed(ranked.select(name("id"), F.col("h").alias(h), (F.col("place") == F.col("first")).alias(kept), "n").where(f"n > 1 OR NOT {kept}").drop("n"))
-    size, repeats = marks.agg(F.count("*"), F.count_if(kept)).first()
+    with no_small_broadcasts(spark):
+        each = checkpointed(copy_groups(docs).groupBy("root", "id", "h").agg(F.count("*").alias("n")))
+        place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+        ranked = each.withColumn("place", place).join(each.groupBy("root").agg(F.min(place).alias("first")), "root")
+        # rows to look at: all that go, and those that repeat id and text, of which one stays
+        marks = checkpointed(ranked.select(name("id"), F.col("h").alias(h), (F.col("place") == F.col("first")).alias(kept), "n").where(f"n > 1 OR NOT {kept}").drop("n"))
+        size, repeats = marks.agg(F.count("*"), F.count_if(kept)).first()
     sent = F.broadcast if size <= send else lambda x: x
     marked = docs.select("*", name("doc_id"), F.xxhash64(F.col("text").cast("string")).alias(h))
     left = marked.join(sent(marks.select(i, h)), [i, h], "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, mapped, offsets, read, rows
+from ._common import fold, mapped, offsets, read, release, rows
 
 PUNCTUATION = string.punctuation.encode()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -211,14 +211,17 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, chain_do
     chosen = kinds[0].unionByName(kinds[1])
     texted = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = texted.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
-    texts, toxic, types = [], [], Types()
+    texts, toxic, types, words = [], [], Types(), []
     for x in got.select("kind", "text").toLocalIterator():
         words = tokens(x.text.encode())
         types.add(words, x.kind)
         if types.docs[x.kind] <= chain_docs:
             texts.append(words)
             toxic.append(x.kind)
-    return fit(texts, np.array(toxic, bool), share, types), share
+    model = fit(texts, np.array(toxic, bool), share, types)
+    del texts, types, words
+    release()  # what fitting held stays with the driver otherwise
+    return model, share
 
 
 def score(docs: DataFrame, model: Model | None, share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
