@@ -495,7 +495,8 @@ def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, send: int =
     with no_small_broadcasts(spark):
         each = checkpointed(copy_groups(docs).groupBy("root", "id", "h").agg(F.count("*").alias("n")))
         place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-        ranked = each.withColumn("place", place).join(each.groupBy("root").agg(F.min(place).alias("first")), "root")
+        firsts = checkpointed(each.groupBy("root").agg(F.min(place).alias("first")))  # apart, so that the join can split a large group
+        ranked = each.withColumn("place", place).join(firsts, "root")
         # rows to look at: all that go, and those that repeat id and text, of which one stays
         marks = checkpointed(ranked.select(name("id"), F.col("h").alias(h), (F.col("place") == F.col("first")).alias(kept), "n").where(f"n > 1 OR NOT {kept}").drop("n"))
         size, repeats = marks.agg(F.count("*"), F.count_if(kept)).first()
